@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import line_dedup, near_dedup, packing, quality, sentencepiece_codec
+from . import ann, arc, line_dedup, near_dedup, packing, quality, sentencepiece_codec, sharding, topk, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,28 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages, written as ARC files of both versions, converted to WARC records."""
+    out = arc.arc_to_warc(arc.pages_as_arc(table(spark, sf_dir, "pages"))).where("warc_type <> 'warcinfo'")
+    return out.select("warc_type", "record_id", "target_uri", "warc_date", "ip", "content_type", "content_length", "block_digest", "payload_digest", F.decode("block", "utf-8").alias("block"))
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -45,9 +68,14 @@ def queries() -> dict:
         "op3_packing": op3_packing,
         "op4_line_dedup": op4_line_dedup,
         "op5_quality": op5_quality,
+        "op6_url_filter": op6_url_filter,
+        "op7_sharding": op7_sharding,
+        "op8_ann": op8_ann,
+        "op9_topk": op9_topk,
+        "op10_warc": op10_warc,
         "pipeline": _pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op4_line_dedup": line_dedup.ORACLE_SQL, "op9_topk": topk.ORACLE_SQL, "op10_warc": arc.ORACLE_SQL}
