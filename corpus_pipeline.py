@@ -21,14 +21,15 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document has go; so does a document that had text and lost all of it."""
-    out = line_dedup.dedup_lines(docs)
-    out = out.where("lines_dropped = 0 or trim(replace(text, '\n', ' ')) <> ''")
-    return out.withColumn("n_chars", F.when(F.col("lines_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    out, dropped = line_dedup.dedup_lines(docs), F.col(line_dedup.dropped_column(docs))
+    out = out.where((dropped == 0) | (F.trim(F.replace("text", F.lit("\n"), F.lit(" "))) != ""))
+    chars = F.when(dropped > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[chars.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays."""
-    return docs.join(near_dedup.near_duplicates(docs).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(near_dedup.near_duplicates(docs).select("doc_id"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

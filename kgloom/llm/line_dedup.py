@@ -235,14 +235,22 @@ class LineIndex:
         return self.table("places").withColumn("first", F.min(F.struct("doc", "line")).over(w)).where(F.struct("doc", "line") > F.col("first")).select("doc", "line")
 
     def clean(self, docs: DataFrame) -> DataFrame:
-        """docs with repeated lines taken out of the text, and how many went (`lines_dropped`)."""
+        """docs with repeated lines taken out of the text, and how many went (column dropped_column(docs))."""
         gone = self.repeats().groupBy("doc").agg(F.collect_set("line").alias("__gone")).withColumnRenamed("doc", "__doc")
         kept = F.filter(split_lines(F.col("__text")), lambda x, i: ~F.array_contains("__gone", i))
         text = F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(F.array_join(kept, "\n"))
         out = docs.select(F.struct("*").alias("row"), F.col(self.id_col).cast("long").alias("__id"), F.col(self.text_col).cast("string").alias("__text"))
         out = out.join(gone, F.col("__id") == F.col("__doc"), "left")
         cols = [text.alias(c) if c == self.text_col else F.col("row").getField(c).alias(c) for c in docs.columns]
-        return out.select(*cols, F.coalesce(F.size("__gone"), F.lit(0)).alias("lines_dropped"))
+        return out.select(*cols, F.coalesce(F.size("__gone"), F.lit(0)).alias(dropped_column(docs)))
+
+
+def dropped_column(docs: DataFrame) -> str:
+    """`lines_dropped`, with underscores added while docs has a column of that name."""
+    name, taken = "lines_dropped", {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def _filter_of(pdf: pd.DataFrame) -> Cuckoo | None:
@@ -285,8 +293,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     `min_words` words, blank ones included, stay. Null and empty texts, and rows with a null id, pass
     unchanged. Rows that share an id are one document: where all copies hold a line at the same place, it is
     one line, kept or dropped in each. A document whose lines are all repeats keeps its row, with what blank
-    or short lines it has. Texts of any length are read whole. Columns of docs may have any name but
-    `lines_dropped`. An empty table gives an empty table.
+    or short lines it has. Texts of any length are read whole. Other columns pass unchanged, whatever their
+    names; where one is called `lines_dropped`, the new column has an underscore more. An empty table gives an empty table.
     """
     index = LineIndex(docs.sparkSession, min_words=min_words, id_col=id_col, text_col=text_col).insert(docs)
     return index.clean(docs)

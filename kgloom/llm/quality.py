@@ -22,6 +22,7 @@ BUCKETS = 1 << 17
 NGRAMS = (3, 4)
 DIM = 12
 EPOCHS = 8
+UPDATES = 1000  # small training sets are gone through more often, for so many updates at least
 RATE = 4.0
 BATCH = 16
 MAX_TRAIN = 3000
@@ -35,7 +36,7 @@ def _features(texts: list[str | None], buckets: int = BUCKETS, ngrams: tuple[int
     Words are runs of other than white space, case kept; n-grams lie within a word and its two boundaries.
     """
     _, space, _ = C.char_tables()
-    cp, starts = C.codepoints(texts)
+    cp, starts = C.codepoints(["\n" + (t or "") for t in texts])  # a gap on both sides: no n-gram reaches into the next text
     gap = space[np.minimum(cp, C._TABLE - 1)] & (cp < C._TABLE)
     begin, end = C.runs(~gap)
     words, at = C.span_hashes(cp, begin, end), np.searchsorted(begin, starts)
@@ -106,7 +107,9 @@ def fit(texts: list[str], good: np.ndarray, buckets: int = BUCKETS, dim: int = D
     out, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
     share = np.bincount(y[train], minlength=2) / max(1, len(train))
     balance = np.where(share > 0, 0.5 / np.maximum(share, 1e-9), 0).astype(np.float32)  # both classes weigh the same
-    steps, step = max(1, epochs * -(-len(train) // BATCH)), 0
+    a_round = max(1, -(-len(train) // BATCH))
+    epochs = max(epochs, -(-UPDATES // a_round)) if len(train) else 0
+    steps, step = max(1, epochs * a_round), 0
     for _ in range(epochs):
         order = rng.permutation(train)
         for b in range(0, len(order), BATCH):
@@ -176,4 +179,5 @@ def score(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Dat
 def keep_good(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
     """The rows of docs that score() keeps, all columns as they are; one pass, no shuffle of texts."""
     model, at = train(docs, labels, max_train), docs.columns.index("text")
-    return docs.mapInArrow(lambda it: _keep(it, model, at), docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # any name may come in
+    return plain.mapInArrow(lambda it: _keep(it, model, at), plain.schema).toDF(*docs.columns)

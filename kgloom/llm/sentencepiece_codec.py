@@ -3,7 +3,8 @@
 Where no piece has a white-space marker after another character (checked when the model is loaded), no
 merge crosses the start of a marked word, so a text's ids are the concatenation of its marked words' ids. Each task
 keeps a table of the distinct marked words it has met, segments each of them once, and joins the ids back by
-position with array takes. Nothing is shuffled. A model that breaks the condition is run on whole texts.
+position with array takes. Nothing is shuffled. A model that breaks the condition, and a text that holds the marker
+itself, is encoded whole.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from . import common as C
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-_CUT = "\ue0f7"  # stands for a cut; texts that hold it are encoded whole
+_CUT = "\ue0f7"  # stands for a cut; texts that hold it, or the marker, are encoded whole
 TABLE_SIZE = 400_000  # distinct words a task keeps; beyond it the table starts anew (results are the same)
 
 
@@ -97,10 +98,18 @@ class Codec:
 
     def _run(self, texts: pa.Array, want: bool) -> tuple[np.ndarray, np.ndarray | None]:
         texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
-        if not self.splits or pc.any(pc.match_substring(texts, _CUT)).as_py():
-            got = self.sp.encode(texts.to_pylist(), num_threads=1)
-            n = np.fromiter(map(len, got), np.int64, len(got))
-            return n, np.fromiter(chain.from_iterable(got), np.int32, int(n.sum()))
+        if not self.splits:
+            return self._whole(texts)
+        odd = pc.or_(pc.match_substring(texts, _CUT), pc.match_substring(texts, MARK))  # a marker of the text's own may join what precedes it
+        if pc.any(odd).as_py():
+            odd = odd.to_numpy(zero_copy_only=False)
+            n, flat = np.zeros(len(texts), np.int64), []
+            parts = [self._run(texts.filter(pa.array(~odd)), True), self._whole(texts.filter(pa.array(odd)))]
+            for mask, (k, ids) in zip((~odd, odd), parts):
+                n[mask] = k
+                flat.append(np.split(ids, np.cumsum(k)[:-1]) if len(k) else [])
+            normal, whole = map(iter, flat)
+            return n, np.concatenate([next(whole) if o else next(normal) for o in odd])
         chunks = self._chunks(texts)
         rows = self._look_up(chunks.flatten())
         ends = chunks.offsets.to_numpy().astype(np.int64)
@@ -116,11 +125,17 @@ class Codec:
         take = np.repeat(self.at[rows] - upto[:-1], n) + np.arange(upto[-1])
         return total, self.ids[0][take] if len(take) else np.zeros(0, np.int32)
 
+    def _whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        got = self.sp.encode(texts.to_pylist(), num_threads=1)
+        n = np.fromiter(map(len, got), np.int64, len(got))
+        return n, np.fromiter(chain.from_iterable(got), np.int32, int(n.sum()))
+
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """Texts of id lists: pieces joined, the first marker taken off, bytes that are no UTF-8 as U+FFFD."""
         flat = ids.flatten()
         parts = pa.ListArray.from_arrays(pc.subtract(ids.offsets, ids.offsets[0]), self.raw.take(flat))
         joined = pc.binary_join(parts, pa.scalar(b"", pa.binary())).to_pylist()
+        joined = [None if gone else b for gone, b in zip(ids.is_null().to_pylist(), joined)]
         return pa.array([None if b is None else b[1:].decode("utf-8", "replace") if b[:1] == b" " else b.decode("utf-8", "replace") for b in joined], pa.string())
 
 
