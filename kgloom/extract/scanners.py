@@ -61,6 +61,9 @@ def _ruby_close(text: str, at: int) -> int:
     return len(text)
 
 
+_NEXT = re.compile(r"^\s*(?:\w+\s+)*?(?:class|object|fun|def|interface|trait|enum|struct|fn|function|func|namespace)\b", re.M)
+
+
 def _span(text: str, m: re.Match, lang: Language) -> tuple[int, int]:
     """Body of a declaration: between brackets if they open before a statement ends; else the rest of the line."""
     if lang.ends == "end":
@@ -68,6 +71,8 @@ def _span(text: str, m: re.Match, lang: Language) -> tuple[int, int]:
     for k in re.compile(r"[{;(=]").finditer(text, m.end("name")):
         if k.group() == "(":
             continue
+        if _NEXT.search(text, m.end("name"), k.start()):  # it had no body, this is another's
+            return m.end("name"), m.end("name")
         if k.group() == "{" and text.count("(", m.end("name"), k.start()) <= text.count(")", m.end("name"), k.start()):
             return k.start(), _close(text, k.start())
         if k.group() == "=" and text[k.start() : k.start() + 2] == "=>":
@@ -159,7 +164,7 @@ RUST = Language(
 )
 JAVA = Language(
     types=rf"^\s*(?:@\w+(?:\([^)]*\))?\s*)*{_MODS}(?:class|interface)\s+(?P<name>\w+)",
-    functions=rf"^[ \t]*(?:@\w+(?:\([^)]*\))?\s*)*{_MODS}(?:<[^>]+>\s*)?(?:(?!return\b|new\b|else\b|throw\b){_TYPE}[ \t]+)?(?P<name>\w+)\s*\([^(){{}};]*\)\s*(?:throws\s+[\w., ]+)?\s*[{{;]",
+    functions=rf"(?:^|(?<=[{{;}}]))[ \t]*(?:@\w+(?:\([^)]*\))?\s*)*{_MODS}(?:<[^>]+>\s*)?(?:(?!return\b|new\b|else\b|throw\b){_TYPE}[ \t]+)?(?P<name>\w+)\s*\([^(){{}};]*\)\s*(?:throws\s+[\w., ]+)?\s*[{{;]",
     imports=[(r"^\s*import\s+(?:static\s+)?(?P<name>[\w.]+(?:\.\*)?)\s*;", "imports")],
 )
 C = Language(
@@ -181,7 +186,7 @@ RUBY = Language(
 )
 CSHARP = Language(
     types=rf"^\s*(?:\[[^\]]*\]\s*)*{_MODS}(?:class|interface|namespace)\s+(?P<name>[\w.]+)",
-    functions=rf"^[ \t]*(?:\[[^\]]*\]\s*)*{_MODS}(?!return\b|new\b|else\b|throw\b|await\b|using\b){_TYPE}[ \t]+(?P<name>\w+)\s*(?:<[^>]+>)?\([^(){{}};]*\)\s*(?:where[^{{]+)?(?:[{{;]|=>)",
+    functions=rf"(?:^|(?<=[{{;}}]))[ \t]*(?:\[[^\]]*\]\s*)*{_MODS}(?!return\b|new\b|else\b|throw\b|await\b|using\b){_TYPE}[ \t]+(?P<name>\w+)\s*(?:<[^>]+>)?\([^(){{}};]*\)\s*(?:where[^{{]+)?(?:[{{;]|=>)",
     imports=[(r"^\s*using\s+(?:static\s+)?(?:\w+\s*=\s*)?(?P<name>[\w.]+)\s*;", "imports")],
 )
 KOTLIN = Language(

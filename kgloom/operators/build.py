@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..schema import CONFIDENCES, EDGE_KEYS, FILE_TYPES, KG, NODE_KEYS, score_default
 
 NODE_ATTRS = ("label", "file_type", "source_file", "source_location", "source_url", "captured_at", "author", "contributor", "community")
+_TYPES = {"community": "int", "confidence_score": "double", "weight": "double"}
 EDGE_ATTRS = ("relation", "confidence", "confidence_score", "weight", "source_file", "source_location")
 
 
@@ -57,10 +58,15 @@ def _last(attr: str) -> Column:
     return F.expr(f"max_by({attr}, ord) FILTER (WHERE {attr} IS NOT NULL)").alias(attr)
 
 
+def _whole(df: DataFrame, attrs: tuple[str, ...]) -> DataFrame:
+    """df with the attributes that it lacks, as nulls."""
+    return df.withColumns({a: F.lit(None).cast(_TYPES.get(a, "string")) for a in attrs if a not in df.columns})
+
+
 def build_nodes(nodes: DataFrame) -> DataFrame:
     """One row an id: each attribute from the last row that has it, the place (ord) from the first."""
-    attrs = [a for a in NODE_ATTRS if a in nodes.columns]
-    return nodes.where("id is not null").groupBy("id").agg(*[_last(a) for a in attrs], F.min("ord").alias("ord"))
+    n = _whole(nodes.where("id is not null"), NODE_ATTRS)
+    return n.groupBy("id").agg(*[_last(a) for a in NODE_ATTRS], F.min("ord").alias("ord"))
 
 
 def build_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -69,11 +75,11 @@ def build_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     e = edges.join(at.withColumnsRenamed({"id": "source", "o": "so"}), "source").join(at.withColumnsRenamed({"id": "target", "o": "to"}), "target")
     fwd = F.col("so") <= F.col("to")
     e = e.withColumn("u", F.when(fwd, F.col("source")).otherwise(F.col("target"))).withColumn("v", F.when(fwd, F.col("target")).otherwise(F.col("source")))
-    return _collapse(e.withColumn("u_ord", F.least("so", "to")), edges, F.min("u_ord").alias("u_ord"))
+    return _collapse(e.withColumn("u_ord", F.least("so", "to")), F.min("u_ord").alias("u_ord"))
 
 
-def _collapse(e: DataFrame, edges: DataFrame, *more: Column) -> DataFrame:
-    attrs = [a for a in EDGE_ATTRS if a in edges.columns]
+def _collapse(e: DataFrame, *more: Column) -> DataFrame:
+    attrs, e = EDGE_ATTRS, _whole(e, EDGE_ATTRS)
     ends = F.max_by(F.struct("source", "target"), F.col("ord"))
     out = e.groupBy("u", "v").agg(ends.alias("ends"), *[_last(a) for a in attrs], F.min("ord").alias("ord"), *more)
     return out.select("u", "v", F.col("ends.source").alias("src"), F.col("ends.target").alias("tgt"), *attrs, "ord", *([c for c in ("u_ord",) if more]))
@@ -88,7 +94,7 @@ def build_graph(nodes: DataFrame, edges: DataFrame, hyperedges: DataFrame | None
 def build_edges_lenient(edges: DataFrame) -> DataFrame:
     """As build_edges, but ends need not be nodes; u is the smaller id."""
     e = edges.where("source is not null and target is not null")
-    return _collapse(e.withColumn("u", F.least("source", "target")).withColumn("v", F.greatest("source", "target")), edges)
+    return _collapse(e.withColumn("u", F.least("source", "target")).withColumn("v", F.greatest("source", "target")))
 
 
 def lenient_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:

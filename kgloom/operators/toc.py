@@ -12,7 +12,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     """(line_no, family, name, scientific_name, page) of lines `<name>과` or `<name> <Latin name> ... <page>`."""
     t = F.trim("line")
     family = F.nullif(F.regexp_extract(t, r"^([가-힣]+과)$", 1), F.lit(""))
-    entry = r"^([가-힣]+)\s*([A-Z][A-Za-z.×\s\-]*[a-z.])[\s.·…]*([0-9]+)$"
+    entry = r"^([가-힣]+)\s*([A-Z][A-Za-z.×\s\-]*?[a-z]\.?)[\s.·…]*([0-9]+)$"
     pick = lambda i: F.nullif(F.trim(F.regexp_extract(t, entry, i)), F.lit(""))
     return lines.select("line_no", family.alias("family"), pick(1).alias("name"), pick(2).alias("scientific_name"), pick(3).cast("int").alias("page"))
 

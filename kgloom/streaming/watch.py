@@ -24,7 +24,8 @@ def bursts(events: DataFrame, quiet: str = QUIET, key: str | None = None) -> Dat
 
     On a stream give events a watermark; a burst closes when the watermark passes its end.
     """
-    by = [F.session_window("ts", quiet).alias("w"), *([F.col(key)] if key else [])]
+    one = F.substring("path", 1, 0).alias("_all")  # streams need a key besides the window
+    by = [F.session_window("ts", quiet).alias("w"), F.col(key) if key else one]
     g = events.groupBy(*by).agg(F.count("*").alias("n_events"), F.sort_array(F.collect_set("path")).alias("paths"), F.every(T.suffix(F.col("path")).isin(T.CODE)).alias("code_only"))
     return g.select(*([key] if key else []), F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n_events", "paths", "code_only")
 
