@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -102,6 +103,22 @@ def slices(texts: list[str | None], most: int = 1_000_000):
         yield first, len(texts)
 
 
+def byte_ranges(texts: pa.Array, most: int = 4_000_000):
+    """(from, to) row ranges of about `most` bytes of an Arrow array; a longer text stands alone, whole."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + most, "right")))
+        yield lo, hi
+        lo = hi
+
+
+def parts(texts: pa.Array, most: int = 4_000_000):
+    """(from, to, texts) of successive ranges, so that a batch is never held twice."""
+    for lo, hi in byte_ranges(texts, most):
+        yield lo, hi, texts.slice(lo, hi - lo).to_pylist()
+
+
 def list_array(offsets: np.ndarray, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 

@@ -79,7 +79,8 @@ def _row_hash(v: np.ndarray, salt: int) -> np.ndarray:
 
 def _sign(batches, permutations: int, rows: int, seed: int):
     for batch in batches:
-        sig, has = signatures(batch.column(1).to_pylist(), permutations, seed)
+        made = [signatures(texts, permutations, seed) for _, _, texts in C.parts(batch.column(1))] or [signatures([], permutations, seed)]
+        sig, has = (np.concatenate(x) for x in zip(*made))
         sig, ids = sig[has], batch.column(0).filter(pa.array(has))
         bands = np.stack([_row_hash(sig[:, i : i + rows], i + 1) for i in range(0, sig.shape[1] - rows + 1, rows)], 1)
         low = np.ascontiguousarray(sig.astype(np.uint8))

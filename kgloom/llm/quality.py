@@ -150,15 +150,19 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     return fit(rows["t"].tolist(), rows["good"].to_numpy())
 
 
+def _good(model: Model, texts: pa.Array) -> np.ndarray:
+    return np.concatenate([np.zeros(0), *[model.good(part) for _, _, part in C.parts(texts)]])
+
+
 def _score(batches, model: Model):
     for batch in batches:
-        p = model.good(batch.column(1).to_pylist())
+        p = _good(model, batch.column(1))
         yield pa.record_batch([batch.column(0), pa.array(p, mask=np.isnan(p))], names=["i", "p"])
 
 
 def _keep(batches, model: Model, at: int):
     for batch in batches:
-        yield batch.filter(pa.array(model.good(batch.column(at).to_pylist()) >= model.cut))
+        yield batch.filter(pa.array(_good(model, batch.column(at)) >= model.cut))
 
 
 def score(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:

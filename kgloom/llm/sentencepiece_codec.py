@@ -25,7 +25,8 @@ from . import common as C
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 _CUT = "\ue0f7"  # stands for a cut; texts that hold it, or the marker, are encoded whole
-TABLE_SIZE = 400_000  # distinct words a task keeps; beyond it the table starts anew (results are the same)
+SLICE = 8_000_000  # bytes of text encoded at once
+TABLE_SIZE = 200_000  # distinct words a task keeps; beyond it the table starts anew (results are the same)
 
 
 class Codec:
@@ -144,20 +145,10 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _ranges(texts: pa.Array, most: int = 16_000_000):
-    """(from, to) row ranges of about `most` bytes; a longer text stands alone, whole."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    lo = 0
-    while lo < len(texts):
-        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + most, "right")))
-        yield lo, hi
-        lo = hi
-
-
 def _encode(batches, model: str, ids: bool):
     c = codec(model)
     for batch in batches:
-        for lo, hi in _ranges(batch.column(1)):
+        for lo, hi in C.byte_ranges(batch.column(1), SLICE):
             part = batch.column(1).slice(lo, hi - lo)
             none = part.is_null().to_numpy(zero_copy_only=False)
             n, flat = c.encode(part) if ids else (c.counts(part), None)
