@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..runtime import number
 from ..schema import KG, STRUCTURAL, score_default
 from .build import adjacency, degrees
 
@@ -144,7 +145,7 @@ def cohesion(kg: KG) -> DataFrame:
 def community_rank(members: DataFrame) -> DataFrame:
     """(community, size, cid) of (community, id, ord): numbers by falling size, then by first member."""
     s = members.groupBy("community").agg(F.count("*").alias("size"), F.min("ord").alias("first"))
-    return s.withColumn("cid", F.row_number().over(Window.orderBy(F.desc("size"), "first")) - 1).select("community", "size", "cid")
+    return number(s, [F.desc("size"), F.asc("first")], "cid").select("community", "size", F.col("cid").cast("int").alias("cid"))
 
 
 def community_reach(kg: KG) -> DataFrame:

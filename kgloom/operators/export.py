@@ -65,21 +65,27 @@ def to_graphml(kg: KG, path: str) -> None:
         f.write("</graph>\n</graphml>\n")
 
 
-def node_links(kg: KG) -> DataFrame:
-    """(part, ord, json): one JSON object for each node and link, nulls included."""
-    n = kg.nodes.select(F.lit("nodes").alias("part"), F.struct(F.struct("ord").alias("a")).alias("at"), F.to_json(F.struct("id", "label", "file_type", "source_file", "community"), {"ignoreNullFields": "false"}).alias("json"))
-    e = with_scores(kg.edges).select(F.lit("links").alias("part"), F.to_json(F.struct(F.col("u").alias("source"), F.col("v").alias("target"), F.col("src").alias("_src"), F.col("tgt").alias("_tgt"), "relation", "confidence", "confidence_score", "weight", "source_file"), {"ignoreNullFields": "false"}).alias("json"), F.struct("u_ord", "ord").alias("at"))
-    n = n.withColumn("n", F.row_number().over(Window.orderBy("at"))).select("part", "n", "json")
-    return n.union(e.withColumn("n", F.row_number().over(Window.orderBy("at"))).select("part", "n", "json"))
+_NULLS = {"ignoreNullFields": "false"}
+
+
+def node_json(kg: KG) -> DataFrame:
+    """(ord, json): one JSON object for each node, nulls included."""
+    return kg.nodes.select("ord", F.to_json(F.struct("id", "label", "file_type", "source_file", "community"), _NULLS).alias("json"))
+
+
+def link_json(kg: KG) -> DataFrame:
+    """(u_ord, ord, json): one JSON object for each link."""
+    cols = [F.col("u").alias("source"), F.col("v").alias("target"), F.col("src").alias("_src"), F.col("tgt").alias("_tgt"), "relation", "confidence", "confidence_score", "weight", "source_file"]
+    return with_scores(kg.edges).select("u_ord", "ord", F.to_json(F.struct(*cols), _NULLS).alias("json"))
 
 
 def to_json(kg: KG, path: str) -> None:
     """A node-link JSON file, streamed through the driver in order."""
     with open(path, "w", encoding="utf-8") as f:
         f.write('{"directed": false, "multigraph": false, "graph": {}')
-        for part in ("nodes", "links"):
+        for part, rows in (("nodes", node_json(kg).orderBy("ord")), ("links", link_json(kg).orderBy("u_ord", "ord"))):
             f.write(f', "{part}": [')
-            for i, r in enumerate(node_links(kg).where(F.col("part") == part).orderBy("n").toLocalIterator()):
+            for i, r in enumerate(rows.toLocalIterator()):
                 f.write((", " if i else "") + r["json"])
             f.write("]")
         hyper = [r.asDict(True) for r in kg.hyperedges.collect()] if kg.hyperedges is not None else []

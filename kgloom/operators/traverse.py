@@ -17,7 +17,8 @@ from .analyze import god_nodes, top
 from .build import adjacency, degrees
 
 MAX_DEPTH = 6
-MOST_EDGES = 20_000_000  # a graph that is broadcast for exact betweenness has no more
+SHORTEST_LINE = 20  # characters that every line has at least
+MOST_EDGES = 2_000_000  # a graph that is broadcast for exact betweenness has no more
 
 
 # ------------------------------------------------------------------ search
@@ -139,14 +140,19 @@ def shortest_path(kg: KG, source: str, target: str, max_hops: int = 8) -> str:
 
 
 # ------------------------------------------------------------------ text of a subgraph
-def subgraph_lines(kg: KG, ids: DataFrame) -> DataFrame:
-    """(part, place, line): a line for each node, best connected first, then one for each edge between them."""
+def subgraph_lines(kg: KG, ids: DataFrame, most: int | None = None) -> DataFrame:
+    """(part, place, line): a line for each node, best connected first, then one for each edge between them; at most `most` of either.
+
+    Without `most`, places are numbered over the whole subgraph; leave them out where they aren't needed.
+    """
     n = kg.nodes.join(ids.select("id"), "id", "left_semi").join(degrees(kg), "id")
     clean = lambda c: T.sanitize_label(F.coalesce(c, F.lit("")))
     nodes = n.select(F.lit(0).alias("part"), F.struct((-F.col("degree")).alias("d"), F.struct("ord").alias("o")).alias("place"), F.concat(F.lit("NODE "), clean(F.coalesce("label", "id")), F.lit(" [src="), F.coalesce("source_file", F.lit("")), F.lit(" community="), F.coalesce(F.col("community").cast("string"), F.lit("")), F.lit("]")).alias("line"))
     lab = n.select("id", clean(F.coalesce("label", "id")).alias("l"))
     e = kg.edges.join(lab.withColumnsRenamed({"id": "src", "l": "ls"}), "src").join(lab.withColumnsRenamed({"id": "tgt", "l": "lt"}), "tgt")
     text = F.concat(F.lit("EDGE "), F.col("ls"), F.lit(" --"), F.coalesce("relation", F.lit("")), F.lit(" ["), F.coalesce("confidence", F.lit("")), F.lit("]--> "), F.col("lt"))
+    if most is not None:
+        nodes, e = nodes.orderBy("place").limit(most), e.orderBy("u_ord", "ord").limit(most)
     nodes = nodes.withColumn("k", F.row_number().over(Window.orderBy("place"))).select("part", F.col("k").cast("long").alias("place"), "line")
     edges = e.select(F.lit(1).alias("part"), F.row_number().over(Window.orderBy("u_ord", "ord")).cast("long").alias("place"), text.alias("line"))
     return nodes.union(edges)
@@ -167,7 +173,7 @@ def query_graph(kg: KG, question: str, mode: str = "bfs", depth: int = 3, token_
     depth = min(depth, MAX_DEPTH)
     ids = starts.sparkSession.createDataFrame([(r["id"],) for r in seeds], "id string")
     met = (dfs if mode == "dfs" else bfs)(kg, ids, depth)
-    lines = subgraph_lines(kg, met)
+    lines = subgraph_lines(kg, met, token_budget * 4 // SHORTEST_LINE + 2)  # no more lines fit
     kept = within_budget(lines, token_budget).orderBy("part", "place").collect()
     cut = len(kept) < lines.count()
     head = f"Traversal: {mode.upper()}, depth {depth}, from {', '.join(r['id'] for r in seeds)}"

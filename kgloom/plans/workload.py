@@ -814,7 +814,8 @@ def _(spark, sf):
 
 @query("node_links")
 def _(spark, sf):
-    return X.node_links(V.graph(spark, sf))
+    kg = V.graph(spark, sf)
+    return X.node_json(kg).select(F.lit("nodes").alias("part"), "json").union(X.link_json(kg).select(F.lit("links"), "json"))
 
 
 @query("graphml_rows")

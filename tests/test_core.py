@@ -193,6 +193,26 @@ def test_communities_keep_their_promises(spark):
     spark.conf.set("spark.sql.shuffle.partitions", 4)
 
 
+def test_components_too_large_for_one_task(spark, monkeypatch):
+    monkeypatch.setattr(community, "LOCAL_EDGES", 60)
+    monkeypatch.setattr(community, "ROUNDS", 4)
+    r = random.Random(8)
+    nodes = [(f"n{i:03d}", f"n{i}", "a.py", None) for i in range(80)]
+    edges = [(f"n{a:03d}", f"n{b:03d}", "calls", "EXTRACTED") for g in range(4) for a in range(g * 20, g * 20 + 20) for b in range(a + 1, g * 20 + 20) if r.random() < 0.5]
+    edges += [(f"n{g * 20:03d}", f"n{(g * 20 + 20) % 80:03d}", "calls", "EXTRACTED") for g in range(4)]
+    kg = make(spark, nodes, edges)
+    found = community.cluster(kg)
+    whole = community.with_communities(kg, found)
+    assert found.count() == 80 and community.disconnected(whole).collect() == [] and community.modularity(whole).first()[0] > 0.55
+
+
+def test_rows_are_numbered_in_order(spark):
+    from kgloom.runtime import number
+
+    rows = number(spark.range(1000).repartition(7), [F.desc("id")], "n").collect()
+    assert all(x["n"] == 999 - x["id"] for x in rows) and len(rows) == 1000
+
+
 def test_large_community_is_split_once(spark):
     nodes = [(f"n{i:02d}", f"n{i}", "a.py", None) for i in range(44)]
     path = [(f"n{i:02d}", f"n{i + 1:02d}", "calls", "EXTRACTED") for i in range(43)]
