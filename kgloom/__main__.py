@@ -10,7 +10,7 @@ from .operators import analyze, traverse
 from .plans import pipeline
 from .sources import graphjson
 
-QUESTIONS = ["how does authentication work", "what is the main entry point", "how are errors handled", "what connects the data layer to the api", "what are the core abstractions"]
+QUESTIONS = ["where does the program start", "which parts read or write data", "how are failures reported", "what do most modules depend on", "which classes are extended"]
 
 
 def main(args: list[str]) -> int:

@@ -8,7 +8,7 @@ from pathlib import PurePosixPath
 
 def make_id(*parts: str) -> str:
     kept = [p for p in (str(x).strip("_.") for x in parts) if p]
-    return re.sub("[^a-zA-Z0-9]+", "_", "_".join(kept)).strip("_").lower()
+    return re.sub("[^0-9A-Za-z]+", "_", "_".join(kept)).strip("_").lower()
 
 
 class Rows:
@@ -23,11 +23,13 @@ class Rows:
 
     def node(self, id_: str, label: str, line: int, source: str | None = None) -> str:
         if id_ not in self.nodes:
-            self.nodes[id_] = {"id": id_, "label": label, "file_type": "code", "source_file": self.path if source is None else source, "source_location": f"L{line}" if line else ""}
+            where = f"L{line}" if line else ""
+            self.nodes[id_] = dict(id=id_, label=label, file_type="code", source_file=self.path if source is None else source, source_location=where)
         return id_
 
     def edge(self, source: str, target: str, relation: str, line: int, sure: bool = True) -> None:
-        self.edges.append({"source": source, "target": target, "relation": relation, "confidence": "EXTRACTED" if sure else "INFERRED", "source_file": self.path, "source_location": f"L{line}", "weight": 1.0 if sure else 0.8})
+        confidence, weight = ("EXTRACTED", 1.0) if sure else ("INFERRED", 0.8)
+        self.edges.append(dict(source=source, target=target, relation=relation, confidence=confidence, source_file=self.path, source_location=f"L{line}", weight=weight))
 
     def type(self, name: str, line: int, contained: bool = True) -> str:
         id_ = make_id(self.scope, name)
@@ -62,5 +64,5 @@ class Rows:
 
     def result(self) -> dict:
         """Edges that leave the file remain only where they are imports."""
-        keep = [e for e in self.edges if e["source"] in self.nodes and (e["target"] in self.nodes or e["relation"] in ("imports", "imports_from"))]
+        keep = [e for e in self.edges if e["source"] in self.nodes and (e["target"] in self.nodes or e["relation"].startswith("imports"))]
         return {"nodes": list(self.nodes.values()), "edges": keep}

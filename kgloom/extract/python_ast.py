@@ -15,7 +15,7 @@ def extract_python(path: str, text: str, by_path: bool = False) -> dict:
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError) as e:
-        return {"nodes": [], "edges": [], "error": str(e)}
+        return dict(nodes=[], edges=[], error=str(e))
     rows, bodies = Rows(path, by_path), []
 
     def walk(node: ast.AST, parent: str | None) -> None:

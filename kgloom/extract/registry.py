@@ -26,7 +26,7 @@ def extract_one(path: str, text: str, by_path: bool = False) -> dict:
     """Rows of one file; a file of another type has none, a file that can't be parsed has an error."""
     f = EXTRACTORS.get(path.rpartition(".")[2].lower() if "." in path.rpartition("/")[2] else "")
     if f is None:
-        return {"nodes": [], "edges": [], "imports": [], "error": None}
+        return dict(nodes=[], edges=[], imports=[], error=None)
     out = f(path, text, by_path)
     return {"nodes": out["nodes"], "edges": out["edges"], "imports": imported_names(path, text) if path.endswith(".py") else [], "error": out.get("error")}
 
@@ -71,7 +71,7 @@ def cross_file_uses(parsed: DataFrame) -> DataFrame:
     entities = n.where("source_file <> ''").select("id", F.col("source_file").alias("file"), T.stem(F.col("source_file")).alias("stem"), "label", "ord")
     used = resolve_imports(py.select(F.explode("imports").alias("i")).select("i.*"), entities)
     at = entities.select(F.col("id").alias("source"), F.col("file").alias("source_file")).dropDuplicates(["source"])
-    return used.join(at, "source").select("source", "target", "relation", "confidence", "source_file", F.lit("").alias("source_location"), "weight", F.struct(F.lit("~").alias("path"), F.xxhash64("source", "target").alias("k")).alias("ord"))
+    return used.join(at, "source").select(*["source", "target", "relation"], "confidence", F.col("source_file"), F.lit("").alias("source_location"), "weight", F.struct(F.lit("~").alias("path"), F.xxhash64("source", "target").alias("k")).alias("ord"))
 
 
 def extract(files: DataFrame, cache: DataFrame | None = None, by_path: bool = False) -> tuple[DataFrame, DataFrame]:

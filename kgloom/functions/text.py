@@ -40,7 +40,7 @@ def strip_chars(c: Column, chars: str) -> Column:
 def make_id(*parts: Column) -> Column:
     """Identifier from name parts: outer `_` and `.` go, empty parts go, other than ASCII letters and digits become `_`."""
     kept = F.filter(F.array(*[strip_chars(F.coalesce(p, F.lit("")), "_.") for p in parts]), lambda x: x != "")
-    return F.lower(strip_chars(F.regexp_replace(F.array_join(kept, "_"), "[^a-zA-Z0-9]+", "_"), "_"))
+    return F.lower(strip_chars(F.regexp_replace(F.array_join(kept, "_"), "[^0-9A-Za-z]+", "_"), "_"))
 
 
 def sanitize_label(c: Column, cap: int = 256) -> Column:

@@ -191,7 +191,7 @@ def community_summary(kg: KG, shown: int = 8) -> DataFrame:
     return out.select("community", "n_real", F.array_join(F.transform("s", lambda x: x["l"]), ", ").alias("shown"), F.greatest(F.col("n_real") - shown, F.lit(0)).alias("more"))
 
 
-# ------------------------------------------------------------------ questions
+# --- questions
 def q_ambiguous(kg: KG) -> DataFrame:
     e = edge_facts(kg, "label").where("confidence = 'AMBIGUOUS'")
     q = F.concat(F.lit("What exactly relates `"), name("u"), F.lit("` and `"), name("v"), F.lit("`?"))
@@ -245,7 +245,7 @@ def suggest_questions(kg: KG, betweenness: DataFrame, n: int = 7) -> DataFrame:
     return out
 
 
-# ------------------------------------------------------------------ comparison
+# --- comparison
 def graph_diff_nodes(old: KG, new: KG) -> DataFrame:
     """(change, id): nodes added and removed."""
     a = new.nodes.join(old.nodes.select("id"), "id", "left_anti").select(F.lit("added").alias("change"), "id")

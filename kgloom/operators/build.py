@@ -14,7 +14,7 @@ _TYPES = {"community": "int", "confidence_score": "double", "weight": "double"}
 EDGE_ATTRS = ("relation", "confidence", "confidence_score", "weight", "source_file", "source_location")
 
 
-# ------------------------------------------------------------------ validation
+# --- validation
 def _errors(df: DataFrame, kind: str, key: Column, checks: list[tuple[Column, Column]]) -> DataFrame:
     found = F.filter(F.array(*[F.when(bad, msg) for bad, msg in checks]), lambda x: x.isNotNull())
     return df.select(F.lit(kind).alias("kind"), key.alias("item"), F.explode(found).alias("error"))
@@ -52,7 +52,7 @@ def assert_valid(nodes: DataFrame, edges: DataFrame) -> None:
         raise ValueError("\n".join(f"{r['kind']} {r['item']}: {r['error']}" for r in bad))
 
 
-# ------------------------------------------------------------------ assembly
+# --- assembly
 def _last(attr: str) -> Column:
     """Value of the last row that has one: a missing value never overwrites."""
     return F.expr(f"max_by({attr}, ord) FILTER (WHERE {attr} IS NOT NULL)").alias(attr)
@@ -126,7 +126,7 @@ def degrees(kg: KG) -> DataFrame:
     return kg.nodes.select("id").join(d, "id", "left").select("id", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
 
 
-# ------------------------------------------------------------------ merging and incremental work
+# --- merging and incremental work
 def merge(*extractions: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """All extractions' rows in turn: the first row of each node id, and all edges. Each is (nodes, edges) with an `ord`."""
     tag = lambda df, r: df.withColumn("ord", F.struct(F.lit(r).alias("r"), F.col("ord").alias("o")))

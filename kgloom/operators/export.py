@@ -16,7 +16,7 @@ from . import analyze as A
 from .build import adjacency, degrees, with_scores
 
 MOST_DRAWN, CANVAS_EDGES = 5000, 200
-COLORS = ["#4E79A7", "#F28E2B", "#E15759", "#76B7B2", "#59A14F", "#EDC948", "#B07AA1", "#FF9DA7", "#9C755F", "#BAB0AC"]
+COLORS = "#1b9e77 #d95f02 #7570b3 #e7298a #66a61e #e6ab02 #a6761d #666666 #1f78b4 #b2df8a".split()
 
 
 def label_of(df_col: str = "label", fallback: str = "id") -> Column:
@@ -27,7 +27,7 @@ def _quote(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
 
 
-# ------------------------------------------------------------------ graph formats as rows
+# --- graph formats as rows
 def cypher_nodes(kg: KG) -> DataFrame:
     kind = F.initcap(F.coalesce("file_type", F.lit("unknown")))
     return kg.nodes.select(F.concat(F.lit("MERGE (n:"), kind, F.lit(" {id: '"), _quote(F.col("id")), F.lit("', label: '"), _quote(label_of()), F.lit("'});")).alias("line"))
@@ -57,7 +57,7 @@ def graphml_rows(kg: KG) -> DataFrame:
 def to_graphml(kg: KG, path: str) -> None:
     """One GraphML file; its lines are streamed through the driver, nodes before edges."""
     head = '<?xml version="1.0" encoding="utf-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n<key id="label" for="node" attr.name="label" attr.type="string"/>\n<key id="community" for="node" attr.name="community" attr.type="long"/>\n<key id="relation" for="edge" attr.name="relation" attr.type="string"/>\n<graph edgedefault="undirected">\n'
-    with open(path, "w", encoding="utf-8") as f:
+    with Path(path).open("w", encoding="utf-8") as f:
         f.write(head)
         for part in (1, 2):
             for r in graphml_rows(kg).where(F.col("part") == part).toLocalIterator():
@@ -81,8 +81,8 @@ def link_json(kg: KG) -> DataFrame:
 
 def to_json(kg: KG, path: str) -> None:
     """A node-link JSON file, streamed through the driver in order."""
-    with open(path, "w", encoding="utf-8") as f:
-        f.write('{"directed": false, "multigraph": false, "graph": {}')
+    with Path(path).open("w", encoding="utf-8") as f:
+        f.write(json.dumps(dict(directed=False, multigraph=False, graph={}))[:-1])
         for part, rows in (("nodes", node_json(kg).orderBy("ord")), ("links", link_json(kg).orderBy("u_ord", "ord"))):
             f.write(f', "{part}": [')
             for i, r in enumerate(rows.toLocalIterator()):
@@ -106,10 +106,10 @@ def push_to_neo4j(kg: KG, uri: str, user: str, password: str) -> None:
         return work
 
     kg.nodes.select("id", label_of().alias("label"), F.regexp_replace(F.initcap(F.coalesce("file_type", F.lit("Entity"))), "[^A-Za-z0-9_]", "_").alias("kind")).foreachPartition(send("MERGE (n:{kind} {{id: $id}}) SET n.label = $label", ["id", "label"]))
-    kg.edges.select("u", "v", relation_name(F.col("relation")).alias("rel"), "confidence").foreachPartition(send("MATCH (a {{id: $u}}), (b {{id: $v}}) MERGE (a)-[r:{rel}]->(b) SET r.confidence = $confidence", ["u", "v", "confidence"]))
+    kg.edges.select("u", "v", relation_name(F.col("relation")).alias("rel"), "confidence").foreachPartition(send("MATCH (x {{id: $u}}) MATCH (y {{id: $v}}) MERGE (x)-[e:{rel}]->(y) SET e.confidence = $confidence", ["u", "v", "confidence"]))
 
 
-# ------------------------------------------------------------------ drawing
+# --- drawing
 def viz_nodes(kg: KG) -> DataFrame:
     """(id, label, size, font_size, color, degree) of nodes as drawn."""
     d = kg.nodes.join(degrees(kg), "id")
@@ -171,7 +171,7 @@ def to_svg(kg: KG, path: str, seed: int = 42, rounds: int = 60) -> None:
     Path(path).write_text('<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 1000 1000">' + "".join(lines + dots) + "</svg>", encoding="utf-8")
 
 
-# ------------------------------------------------------------------ notes, canvas, wiki
+# --- notes, canvas, wiki
 def _file_base(c: Column) -> Column:
     x = F.trim(F.regexp_replace(c, r'[\\/*?:"<>|#^\[\]]', ""))
     return F.when(x == "", "unnamed").otherwise(x)
@@ -238,7 +238,7 @@ def canvas_top_edges(kg: KG, n: int = CANVAS_EDGES) -> DataFrame:
 def to_canvas(kg: KG, path: str, folder: str = "notes") -> None:
     """A canvas file of groups, cards and the heaviest edges; for graphs small enough to look at."""
     groups = [{"id": f"g{r['community']}", "type": "group", "label": f"Community {r['community']}", "x": int(r["x"]), "y": int(r["y"]), "width": r["width"], "height": r["height"], "color": str(i % 6 + 1)} for i, r in enumerate(canvas_layout(kg).orderBy("community").collect())]
-    cards = [{"id": f"n_{r['id']}", "type": "file", "file": f"{folder}/{r['filename']}.md", "x": int(r["x"]), "y": int(r["y"]), "width": 180, "height": 60} for r in canvas_cards(kg).join(note_filenames(kg.nodes), "id").orderBy("id").collect()]
+    cards = [dict(id=f"n_{r['id']}", type="file", file=f"{folder}/{r['filename']}.md", x=int(r["x"]), y=int(r["y"]), width=180, height=60) for r in canvas_cards(kg).join(note_filenames(kg.nodes), "id").orderBy("id").collect()]
     edges = [{"id": f"e_{r['u']}_{r['v']}", "fromNode": f"n_{r['u']}", "toNode": f"n_{r['v']}", "label": r["label"]} for r in canvas_top_edges(kg).orderBy("rank").collect()]
     Path(path).write_text(json.dumps({"nodes": groups + cards, "edges": edges}, indent=1), encoding="utf-8")
 
@@ -334,7 +334,7 @@ def to_wiki(kg: KG, folder: str) -> int:
     return write_notes(wiki_rows(kg), folder)
 
 
-# ------------------------------------------------------------------ report
+# --- report
 def report(kg: KG, betweenness: DataFrame, corpus: str = "", date: str = "", tokens: tuple[int, int] = (0, 0)) -> str:
     """The graph report as markdown; every section is a bounded query."""
     s = A.graph_stats(kg).first()

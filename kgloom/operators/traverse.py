@@ -21,7 +21,7 @@ SHORTEST_LINE = 20  # characters that every line has at least
 MOST_EDGES = 2_000_000  # a graph that is broadcast for exact betweenness has no more
 
 
-# ------------------------------------------------------------------ search
+# --- search
 def terms_of(question: str, longer_than: int = 2) -> list[str]:
     return [t for t in question.lower().split() if len(t) > longer_than]
 
@@ -71,7 +71,7 @@ def explain_node(kg: KG, term: str) -> DataFrame:
     return a.join(kg.nodes.select(F.col("id").alias("dst"), "label", "source_file"), "dst").select(F.col("src").alias("id"), F.col("dst").alias("neighbour"), "label", "source_file", "relation", "confidence")
 
 
-# ------------------------------------------------------------------ traversal
+# --- traversal
 def bfs(kg: KG, starts: DataFrame, depth: int = 3) -> DataFrame:
     """(id, dist) of nodes within `depth` steps of the starts (id)."""
     a = adjacency(kg.edges.where("u <> v")).withColumn("w", F.lit(1)).union(kg.nodes.select("id", "id", F.lit(0)))
@@ -139,7 +139,7 @@ def shortest_path(kg: KG, source: str, target: str, max_hops: int = 8) -> str:
     return f"Shortest path ({found['hops']} hops):\n  " + " --> ".join(names[i] for i in found["path"])
 
 
-# ------------------------------------------------------------------ text of a subgraph
+# --- text of a subgraph
 def subgraph_lines(kg: KG, ids: DataFrame, most: int | None = None) -> DataFrame:
     """(part, place, line): a line for each node, best connected first, then one for each edge between them; at most `most` of either.
 
@@ -198,7 +198,7 @@ def token_reduction(kg: KG, questions: list[str], words: int | None = None, dept
     return corpus.join(some, how="cross").select("questions", "corpus_tokens", "avg_query_tokens", F.bround(F.col("corpus_tokens") / F.col("avg_query_tokens"), 1).alias("reduction"))
 
 
-# ------------------------------------------------------------------ betweenness
+# --- betweenness
 def _brandes(n: int, at: np.ndarray, to: np.ndarray, edge: np.ndarray, s: int) -> tuple[np.ndarray, np.ndarray]:
     """Dependencies of all nodes and edges on source s, level by level."""
     dist, paths, levels = np.full(n, -1), np.zeros(n), [np.array([s])]

@@ -71,10 +71,12 @@ def save_answer(folder: str, question: str, answer: str, nodes: list[str], kind:
     import re
 
     now = datetime.now(timezone.utc)
-    slug = re.sub(r"[^\w]", "_", question.lower())[:50].strip("_")
-    one = re.sub(r"[\r\n]+", " ", question).replace('"', "'")
-    path = Path(folder) / f"query_{now:%Y%m%d_%H%M%S}_{slug}.md"
+    one = " ".join(question.split()).replace('"', "'")
+    short = re.sub(r"\W", "_", one).lower()
+    short = short[:50].strip("_")
+    path = Path(folder) / f"query_{now:%Y%m%d_%H%M%S}_{short}.md"
     path.parent.mkdir(parents=True, exist_ok=True)
-    head = ["---", f'type: "{kind}"', f'date: "{now.isoformat()}"', f'question: "{one}"', f"source_nodes: {json.dumps(nodes[:10])}", "---"]
+    about = {"type": kind, "date": now.isoformat(), "question": one, "source_nodes": nodes[:10]}
+    head = ["---", *[f"{k}: {json.dumps(v, ensure_ascii=False)}" for k, v in about.items()], "---"]
     path.write_text("\n".join([*head, "", f"# {one}", "", answer, "", "## Source nodes", *[f"- {n}" for n in nodes], ""]), encoding="utf-8")
     return path

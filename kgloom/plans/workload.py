@@ -43,7 +43,7 @@ def quoted(words) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
 
-# ------------------------------------------------------------------ files and texts
+# --- files and texts
 FILES = """SELECT doc_id, CASE doc_id % 16 WHEN 0 THEN concat('src/node_modules/pkg/a', doc_id, '.js') WHEN 1 THEN concat('app/my_venv/lib/x', doc_id, '.py') WHEN 2 THEN concat('keys/id_rsa', CASE WHEN doc_id % 3 = 0 THEN '.pub' ELSE '' END)
   WHEN 3 THEN concat('conf/.env.', doc_id) WHEN 4 THEN concat('notes/API_Token_', doc_id, '.md') WHEN 5 THEN concat('pkg.egg-info/r', doc_id, '.txt') WHEN 6 THEN concat('certs/site', doc_id, '.PEM') WHEN 7 THEN concat('a/.hidden/b', doc_id, '.go')
   ELSE concat(source, '/', lang, '/d', doc_id, CASE doc_id % 9 WHEN 0 THEN '.py' WHEN 1 THEN '.md' WHEN 2 THEN '.pdf' WHEN 3 THEN '.PNG' WHEN 4 THEN '.txt' WHEN 5 THEN '.rs' WHEN 6 THEN '.bin' WHEN 7 THEN '' ELSE '.tsx' END) END AS path,
@@ -132,7 +132,7 @@ _TEXT = "html"
 for _tag in ("script", "style"):
     _TEXT = f"regexp_replace({_TEXT}, '(?is)<{_tag}[^>]*>.*?</{_tag}>', '', 'g')"
 _TEXT = f"substring(trim(regexp_replace(regexp_replace({_TEXT}, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')), 1, 8000)"
-_TITLE = "trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g'))"
+_TITLE = "trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]{0,}>(.*?)</title>', 1), '\\s+', ' ', 'g'))"
 
 
 @query("html_to_text", f"SELECT page_id, {_TEXT} AS text FROM pages")
@@ -208,7 +208,7 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
 
 
-# ------------------------------------------------------------------ cache, manifest, merge
+# --- cache, manifest, merge
 _CACHED = "SELECT doc_id, text, sha256(text) AS h FROM documents"
 
 
@@ -316,7 +316,7 @@ def _(spark, sf):
     return B.resolve_calls(rel(spark, sf, _SITES, "lineitem"), rel(spark, sf, _FUNCS, "part"))
 
 
-# ------------------------------------------------------------------ validation and building
+# --- validation and building
 _BADN = "SELECT CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE concat('c', c_custkey) END AS id, CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE c_name END AS label, CASE WHEN c_custkey % 19 = 0 THEN 'movie' WHEN c_custkey % 23 = 0 THEN NULL ELSE 'code' END AS file_type, 'a.py' AS source_file, CAST(c_custkey AS BIGINT) AS ord FROM customer"
 _BADE = "SELECT CASE WHEN o_orderkey % 31 = 0 THEN NULL ELSE concat('c', o_custkey) END AS source, concat('c', o_orderkey % 2000) AS target, CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE 'calls' END AS relation, CASE o_orderstatus WHEN 'P' THEN 'MAYBE' ELSE 'EXTRACTED' END AS confidence, 'a.py' AS source_file, CAST(o_orderkey AS BIGINT) AS ord FROM orders WHERE o_orderkey % 10 = 0"
 
@@ -383,7 +383,7 @@ def _(spark, sf):
     return V.raw_nodes(spark, sf).where("community is not null").groupBy("community").agg(F.sort_array(F.collect_list("id")).alias("members"))
 
 
-# ------------------------------------------------------------------ analysis
+# --- analysis
 @query("node_degree", duck("SELECT id, degree FROM kd", V.FULL))
 def _(spark, sf):
     return B.degrees(V.graph(spark, sf, V.FULL))
@@ -559,7 +559,7 @@ def _(spark, sf):
     return A.graph_diff_edges(*_two(spark, sf))
 
 
-# ------------------------------------------------------------------ traversal
+# --- traversal
 _TERMS = ["customer#00000001", "mod", "asia", "asia"]
 _SCORE = " + ".join(f"CASE WHEN contains(lower(label), '{t}') THEN 1.0 ELSE 0 END + CASE WHEN contains(lower(source_file), '{t}') THEN 0.5 ELSE 0 END" for t in _TERMS)
 
@@ -698,7 +698,7 @@ def _(spark, sf):
     return A.suggest_questions(kg, traverse.betweenness(kg)[0])
 
 
-# ------------------------------------------------------------------ communities
+# --- communities
 @query("connected_components", duck("SELECT k.id, coalesce(min(t), k.id) AS component FROM kn k LEFT JOIN w ON w.s = k.id GROUP BY k.id", V.FRAG, facts=False, more="ad AS (SELECT u AS src, v AS dst FROM ke UNION ALL SELECT v, u FROM ke), w AS (SELECT DISTINCT src AS s, src AS t FROM ad UNION SELECT s, dst FROM w JOIN ad ON t = src)"))
 def _(spark, sf):
     from ..operators.community import connected_components
@@ -728,7 +728,7 @@ def _(spark, sf):
     return modularity(V.graph(spark, sf))
 
 
-# ------------------------------------------------------------------ exports
+# --- exports
 @query("cypher_nodes", f"WITH {V.KN} SELECT 'MERGE (n:' || upper(substring(file_type, 1, 1)) || substring(file_type, 2) || ' {{id: ''' || id || ''', label: ''' || label || '''}});' AS line FROM kn".replace("{{", "{").replace("}}", "}"))
 def _(spark, sf):
     return X.cypher_nodes(A.KG(V.raw_nodes(spark, sf), None))
@@ -823,7 +823,7 @@ def _(spark, sf):
     return X.graphml_rows(V.graph(spark, sf)).select("line")
 
 
-# ------------------------------------------------------------------ events
+# --- events
 @query("event_filter", f"SELECT doc_id, path FROM ({FILES}) WHERE {_EXT} IN ({quoted(watch.WATCHED)}) AND NOT regexp_matches(path, '(^|/)\\.') AND NOT regexp_matches(path, '(^|/)kgloom-out(/|$)')")
 def _(spark, sf):
     return files(spark, sf).where(watch.counts(F.col("path"))).select("doc_id", "path")
@@ -843,7 +843,7 @@ def _(spark, sf):
     return watch.route(watch.bursts(e, "3 minutes", "user_id")).select("user_id", "start", "n_events", "action")
 
 
-# ------------------------------------------------------------------ line-ordered work
+# --- line-ordered work
 @query("carry_forward", "SELECT event_id, user_id, last_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS last_error FROM events")
 def _(spark, sf):
     e = table(spark, sf, "events").select("event_id", "user_id", F.when(F.col("event_type") == "error", F.col("event_id")).alias("last_error"))

@@ -13,9 +13,9 @@ HYPEREDGES = "id string, label string, nodes array<string>, relation string, con
 
 FILE_TYPES = ("code", "document", "paper", "image")
 CONFIDENCES = ("EXTRACTED", "INFERRED", "AMBIGUOUS")
-NODE_KEYS = ("id", "label", "file_type", "source_file")
-EDGE_KEYS = ("source", "target", "relation", "confidence", "source_file")
-STRUCTURAL = ("imports", "imports_from", "contains", "method")
+NODE_KEYS = tuple("id label file_type source_file".split())
+EDGE_KEYS = tuple("source target relation confidence source_file".split())
+STRUCTURAL = tuple("contains imports imports_from method".split())
 
 
 @dataclass

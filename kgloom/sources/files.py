@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -97,6 +96,3 @@ def pdf_text(files: DataFrame) -> DataFrame:
 
     return files.where(T.suffix(F.col("path")) == "pdf").select("path", "content").mapInArrow(read, "path string, text string")
 
-
-def local_hash(path: str) -> str:
-    return hashlib.sha256(Path(path).read_bytes()).hexdigest()

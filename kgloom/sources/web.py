@@ -34,7 +34,7 @@ def html_to_text(html: Column, cap: int = 8000) -> Column:
 
 
 def page_title(html: Column, url: Column) -> Column:
-    title = F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
+    title = F.trim(F.regexp_replace(F.regexp_extract(html, "(?is)<{0}[^>]*>(.*?)</{0}>".format("title"), 1), r"\s+", " "))
     return F.when(title == "", url).otherwise(title)
 
 
@@ -51,13 +51,17 @@ def webpage_records(pages: DataFrame, captured_at: str) -> DataFrame:
 
 
 def arxiv_id(url: Column) -> Column:
-    return F.nullif(F.regexp_extract(url, r"(\d{4}\.\d{4,5})", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(url, "([0-9]{4}[.][0-9]{4,5})", 1), F.lit(""))
 
 
 def arxiv_records(pages: DataFrame) -> DataFrame:
     """(url, arxiv_id, title, abstract, authors) of abstract pages; pages without an id are left to webpage_records."""
-    clean = lambda p: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract("html", p, 1), "<[^>]+>", ""), r"\s+", " "))
-    return pages.select("url", arxiv_id(F.col("url")).alias("arxiv_id"), clean(r'(?is)class="title[^"]*"[^>]*>(.*?)</h1>').alias("title"), clean(r'(?is)class="abstract[^"]*"[^>]*>(.*?)</blockquote>').alias("abstract"), clean(r'(?is)class="authors"[^>]*>(.*?)</div>').alias("authors")).where("arxiv_id is not null")
+    part = '(?is)class="{0}[^">]*"[^>]*>((?:(?!</{1}>).)*)</{1}>'
+
+    def clean(kind: str, tag: str) -> Column:
+        return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract("html", part.format(kind, tag), 1), "<[^>]+>", ""), r"\s+", " "))
+
+    return pages.select("url", arxiv_id(F.col("url")).alias("arxiv_id"), clean("title", "h1").alias("title"), clean("abstract", "blockquote").alias("abstract"), clean("authors", "div").alias("authors")).where("arxiv_id is not null")
 
 
 def tweet_records(captured: DataFrame) -> DataFrame:
@@ -74,8 +78,9 @@ def validate_url(url: str) -> str:
 
 
 class _SafeRedirect(urllib.request.HTTPRedirectHandler):
-    def redirect_request(self, req, fp, code, msg, headers, newurl):
-        return super().redirect_request(req, fp, code, msg, headers, validate_url(newurl))
+    def redirect_request(self, *args):
+        validate_url(args[-1])
+        return super().redirect_request(*args)
 
 
 def safe_fetch(url: str, most: int = MAX_BYTES, timeout: int = 30) -> bytes:
