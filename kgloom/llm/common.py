@@ -17,7 +17,7 @@ _POLY_INV = pow(_POLY, -1, 1 << 64)
 _TABLE = 0x20000
 
 
-# ------------------------------------------------------------------ shared storage
+# --- shared storage
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor can read: spark.checkpoint.dir of the session.
 
@@ -36,7 +36,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-# ------------------------------------------------------------------ text as code points
+# --- text as code points
 @lru_cache(maxsize=1)
 def char_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(is word char, is white space, lower case) by code point below 0x20000."""
@@ -123,7 +123,7 @@ def list_array(offsets: np.ndarray, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
-# ------------------------------------------------------------------ connected components
+# --- connected components
 def components(edges: DataFrame) -> DataFrame:
     """Smallest member of each node's component, by alternating large-star and small-star rounds.
 

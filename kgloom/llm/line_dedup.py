@@ -29,7 +29,7 @@ LINES_PER_SHARD = 1_000_000
 MIN_SHARDS = 16
 
 
-# ------------------------------------------------------------------ cuckoo filter
+# --- cuckoo filter
 class Cuckoo:
     """Cuckoo filter on 64-bit keys with 16-bit fingerprints; inserts, probes and deletes arrays of keys."""
 
@@ -134,7 +134,7 @@ def build(keys: np.ndarray) -> Cuckoo:
         size *= 2
 
 
-# ------------------------------------------------------------------ lines of documents
+# --- lines of documents
 def split_lines(text: F.Column) -> F.Column:
     return F.split(text, "\n", -1)
 
@@ -151,7 +151,7 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Dat
     return each.select("doc", "line", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit("second"), "k").alias("h2")).distinct()
 
 
-# ------------------------------------------------------------------ the index
+# --- the index
 @dataclass
 class LineIndex:
     """An immutable version of the index; insert and delete return the next version."""
