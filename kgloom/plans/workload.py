@@ -594,7 +594,7 @@ def _(spark, sf):
 
 @query("dfs_nodes")
 def _(spark, sf):
-    return traverse.dfs(V.graph(spark, sf), _start(spark), 4)
+    return traverse.dfs(V.graph(spark, sf, V.FULL), _start(spark), 4)
 
 
 @query("shortest_path_hops", duck("SELECT id, CAST(dist AS INT) AS hops FROM bd", facts=False, more=_BFS.format(d=8)))
@@ -711,7 +711,7 @@ def _(spark, sf):
 def _(spark, sf):
     from ..operators.community import cluster
 
-    return cluster(V.graph(spark, sf))
+    return cluster(V.graph(spark, sf, V.FULL))
 
 
 @query("cluster_covers_all_nodes", f"WITH {V.KN} SELECT id, CAST(1 AS BIGINT) AS n_communities FROM kn")
@@ -803,24 +803,24 @@ def _(spark, sf):
 
 @query("note_rows")
 def _(spark, sf):
-    kg = V.graph(spark, sf)
+    kg = V.graph(spark, sf, V.FULL)
     return X.note_rows(kg).union(X.community_notes(kg))
 
 
 @query("wiki_rows")
 def _(spark, sf):
-    return X.wiki_rows(V.graph(spark, sf))
+    return X.wiki_rows(V.graph(spark, sf, V.FULL))
 
 
 @query("node_links")
 def _(spark, sf):
-    kg = V.graph(spark, sf)
+    kg = V.graph(spark, sf, V.FULL)
     return X.node_json(kg).select(F.lit("nodes").alias("part"), "json").union(X.link_json(kg).select(F.lit("links"), "json"))
 
 
 @query("graphml_rows")
 def _(spark, sf):
-    return X.graphml_rows(V.graph(spark, sf)).select("line")
+    return X.graphml_rows(V.graph(spark, sf, V.FULL)).select("line")
 
 
 # --- events

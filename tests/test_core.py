@@ -344,3 +344,22 @@ def test_entry_and_oracles():
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 100
     assert math.isfinite(len(e.oracle_sql()))
+
+
+def test_queries_without_sql_cover_every_edge(spark, data):
+    from kgloom.operators.community import cluster
+    from kgloom.plans import views as V
+    from kgloom.plans import workload
+
+    table = lambda n: spark.read.parquet(f"{data}/{n}.parquet")
+    n_edges = table("lineitem").join(table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_suppkey").distinct().count()
+    n_nodes = table("customer").count() + table("supplier").count()
+    run = lambda q: workload.QUERIES[q](spark, data)
+    assert {r["part"]: r["count"] for r in run("node_links").groupBy("part").count().collect()} == {"nodes": n_nodes, "links": n_edges}
+    assert run("graphml_rows").where("line like '%<edge%'").count() == n_edges
+    full = V.graph(spark, data, V.FULL)
+    assert got(run("cluster"), "id", "cid") == got(cluster(full), "id", "cid")
+    assert got(run("dfs_nodes"), "id", "step") == got(traverse.dfs(full, start(spark, "s1"), 4), "id", "step")
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(run("wiki_rows")) == rows(export.wiki_rows(full))
+    assert rows(run("note_rows")) == rows(export.note_rows(full).union(export.community_notes(full)))
