@@ -363,3 +363,37 @@ def test_queries_without_sql_cover_every_edge(spark, data):
     rows = lambda df: sorted(map(str, df.collect()))
     assert rows(run("wiki_rows")) == rows(export.wiki_rows(full))
     assert rows(run("note_rows")) == rows(export.note_rows(full).union(export.community_notes(full)))
+
+
+def test_bridge_questions_cover_the_whole_graph(spark, data):
+    from kgloom.plans import views as V
+    from kgloom.plans import workload
+
+    full = V.graph(spark, data, V.FULL)
+    near = defaultdict(set)
+    for e in full.edges.where("u <> v").select("u", "v").collect():
+        near[e["u"]].add(e["v"])
+        near[e["v"]].add(e["u"])
+    score = dict.fromkeys((r["id"] for r in full.nodes.select("id").collect()), 0.0)
+    for s in list(score):  # shortest paths counted from every node
+        dist, ways, line = {s: 0}, defaultdict(int, {s: 1}), [s]
+        for a in line:
+            for b in near[a]:
+                if b not in dist:
+                    dist[b] = dist[a] + 1
+                    line.append(b)
+                if dist[b] == dist[a] + 1:
+                    ways[b] += ways[a]
+        dep = defaultdict(float)
+        for b in reversed(line):
+            for a in near[b]:
+                if dist[a] == dist[b] - 1:
+                    dep[a] += ways[a] / ways[b] * (1 + dep[b])
+            if b != s:
+                score[b] += dep[b]
+    n = len(score)
+    brute = spark.createDataFrame([(i, x / ((n - 1) * (n - 2))) for i, x in score.items()], "id string, betweenness double")
+    shown = ("type", "question", "why", "rank")
+    assert got(workload.QUERIES["q_bridges"](spark, data), *shown) == got(A.q_bridges(full, brute), *shown)
+    shown = ("rank", "type", "question", "why")
+    assert got(workload.QUERIES["suggest_questions"](spark, data), *shown) == got(A.suggest_questions(full, brute), *shown)
