@@ -12,7 +12,7 @@ import base64
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -28,22 +28,52 @@ SCHEMA = "source string, offset long, warc_type string, record_id string, target
 _HEADER = re.compile(rb"[a-zA-Z][a-zA-Z0-9+.-]*:\S.* \d+\r?\Z")
 
 
-def inflate(data: bytes) -> bytes:
-    """data, with gzip members, if it starts with one, expanded; what a damaged member yields is kept."""
-    if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        d = zlib.decompressobj(31)
+_MAGIC, _STEP = b"\x1f\x8b", 4096
+
+
+def _salvage(data: bytes, at: int) -> bytes:
+    """What a damaged member at `at` yields up to its damage."""
+    out, d = [], zlib.decompressobj(31)
+    while at < len(data):
+        before = d.copy()
         try:
-            out.append(d.decompress(data))
-            out.append(d.flush())
+            out.append(d.decompress(data[at : at + _STEP]))
         except zlib.error:
+            d = before  # byte by byte, so that the failing block's output is kept too
+            try:
+                for k in range(at, min(at + _STEP, len(data))):
+                    out.append(d.decompress(data[k : k + 1]))
+            except zlib.error:
+                pass
             break
-        data = d.unused_data.lstrip(b"\x00")
+        at += _STEP
     return b"".join(out)
 
 
+def inflate(data: bytes) -> tuple[bytes, list[tuple[int, int]]]:
+    """data, with gzip members, if it starts with one, expanded; and from where to where damaged members' yield stands.
+
+    What a damaged member yields is kept; reading goes on at the next gzip header.
+    """
+    if not data.startswith(_MAGIC):
+        return data, []
+    out, size, cuts, at = [], 0, [], 0
+    while at >= 0:
+        d = zlib.decompressobj(31)
+        try:
+            got = d.decompress(data[at:]) + d.flush()
+            sound = d.eof
+        except zlib.error:
+            got, sound = _salvage(data, at), False
+        if not sound and got:
+            cuts.append((size, size + len(got)))
+        out.append(got)
+        size += len(got)
+        # A damaged member may have been read beyond its end, so the next header is sought from its start.
+        at = data.find(_MAGIC, len(data) - len(d.unused_data)) if sound else data.find(_MAGIC + b"\x08", at + 2)
+    return b"".join(out), cuts
+
+
 @dataclass
 class ArcRecord:
     offset: int
@@ -53,18 +83,22 @@ class ArcRecord:
     truncated: bool
 
 
-def parse(data: bytes) -> Iterator[ArcRecord]:
+def parse(data: bytes, cuts: Sequence[tuple[int, int]] = ()) -> Iterator[ArcRecord]:
     """Records of one expanded ARC file in turn, the version record first.
 
     A line that is no header is skipped, so parsing goes on after damage; a block that ends before its
-    declared length is marked truncated.
+    declared length is marked truncated. No record reaches beyond the end of a cut (start and end of a damaged part),
+    and the last one in it is marked truncated whatever its length.
     """
-    at, version = 0, 1
+    at, version, left = 0, 1, [*cuts, (len(data), len(data))]
     while at < len(data):
-        end = data.find(b"\n", at)
-        end = len(data) if end < 0 else end
+        while left[0][1] <= at:
+            left.pop(0)
+        damaged, stop = left[0]
+        end = data.find(b"\n", at, stop)
+        end = stop if end < 0 else end
         line, start = data[at:end].rstrip(b"\r"), at
-        at = end + 1
+        at = min(end + 1, stop)
         if not _HEADER.match(line):
             continue
         text = line.decode("utf-8", "replace")
@@ -75,12 +109,12 @@ def parse(data: bytes) -> Iterator[ArcRecord]:
             continue
         fields = dict(zip(names, parts[1:]))
         length = int(fields["length"])
-        block = data[at : at + length]
-        at += length
+        block = data[at : min(at + length, stop)]
+        at = min(at + length, stop)
         if first:
             m = re.match(rb"(\d+) ", block)
             version = 2 if m and int(m[1]) >= 2 else 1
-        yield ArcRecord(start, parts[0], fields, block, len(block) < length)
+        yield ArcRecord(start, parts[0], fields, block, len(block) < length or (at > damaged and not data[at:stop].strip()))
 
 
 def digest(data: bytes) -> str:
@@ -107,7 +141,7 @@ def _uuid(*parts: str) -> str:
 def convert(source: str, data: bytes) -> Iterator[dict]:
     """WARC records equivalent to one ARC file's, as dicts by SCHEMA."""
     made = None
-    for r in parse(inflate(data)):
+    for r in parse(*inflate(data)):
         date, mime, ip, payload = warc_date(r.fields["date"]), r.fields["mime"], r.fields["ip"], None
         if r.url.startswith("filedesc:"):
             kind, mime, made = "warcinfo", "application/warc-fields", date
@@ -158,7 +192,7 @@ def arc_to_warc(files: DataFrame, name_col: str = "path", data_col: str = "conte
     """WARC records (see SCHEMA) of ARC files given as rows of name and bytes, as binaryFile reads them.
 
     Null or empty files have no records; bytes that are no header line are skipped; a record cut off by the end of its
-    file has truncated = 'length'; dates that are no dates become that of the file's version record; a null name stays null. Repeated rows
+    file or in a damaged gzip member has truncated = 'length', and reading goes on at the next member; dates that are no dates become that of the file's version record; a null name stays null. Repeated rows
     are converted each for itself, with equal identifiers. Other columns don't matter; an empty table gives none.
     """
     src = files.select(F.col(name_col).cast("string").alias("n"), F.col(data_col).cast("binary").alias("d"))

@@ -60,6 +60,35 @@ def test_damage():
     assert list(arc.convert("f", b"")) == []
 
 
+@pytest.mark.parametrize("version", [1, 2])
+@pytest.mark.parametrize("where", ["crc", "middle", "header", "cut"])
+def test_damaged_middle_member(version, where):
+    noise = random.Random(2).randbytes(20_000).hex().encode()
+    records = [(f"http://{c}.example/", "1.1.1.1", "20010101000000", "text/plain", c.encode() + noise) for c in "abcd"]
+    parts = [arc.write_arc("f.arc", records[:k], version) for k in range(len(records) + 1)]
+    members = [bytearray(gzip.compress(b[len(a) :])) for a, b in zip([b"", *parts], parts)]
+    if where == "crc":
+        members[2][-6] ^= 255
+    elif where == "middle":
+        members[2][len(members[2]) // 2 : len(members[2]) // 2 + 40] = b"\xff" * 40
+    elif where == "header":
+        members[2][2] = 0
+    else:
+        del members[2][len(members[2]) // 2 :]
+    got = list(arc.convert("f", b"".join(members)))[1:]
+    by = {r["target_uri"]: r for r in got}
+    for k in (0, 2, 3):  # intact ones are whole and unmarked
+        r = by[records[k][0]]
+        assert r["block"] == records[k][4] and r["truncated"] is None
+    if where == "header":
+        assert len(got) == 3
+    else:
+        cut = by["http://b.example/"]
+        assert len(got) == 4 and cut["truncated"] == "length" and cut["block"][:5000] == records[1][4][:5000]
+    if where == "crc":
+        assert by["http://b.example/"]["block"] == records[1][4]
+
+
 @pytest.mark.parametrize("text, iso", [("20240229235959", "2024-02-29T23:59:59Z"), ("20230229000000", None), ("2024", "2024-01-01T00:00:00Z"), ("202402", "2024-02-01T00:00:00Z"), ("", None), ("20241", None), ("20240101250000", None), ("x", None)])
 def test_dates(text, iso):
     assert arc.warc_date(text) == iso
