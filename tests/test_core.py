@@ -206,6 +206,28 @@ def test_components_too_large_for_one_task(spark, monkeypatch):
     assert found.count() == 80 and community.disconnected(whole).collect() == [] and community.modularity(whole).first()[0] > 0.55
 
 
+def test_large_community_of_many_edges_is_split_too(spark, monkeypatch):
+    monkeypatch.setattr(community, "LOCAL_EDGES", 50)
+    monkeypatch.setattr(community, "ROUNDS", 2)
+    nodes = [(f"n{i:02d}", f"n{i}", "a.py", None) for i in range(18)]
+    edges = [(f"n{a:02d}", f"n{b:02d}", "calls", "EXTRACTED") for g in (0, 8) for a in range(g, g + 8) for b in range(a + 1, g + 8)]
+    edges += [("n00", "n08", "calls", "EXTRACTED"), ("n08", "n16", "calls", "EXTRACTED"), ("n16", "n17", "calls", "EXTRACTED")]
+    kg = make(spark, nodes, edges)
+    heavy = kg.edges.withColumn("weight", F.when(F.col("u") == "n16", 10000.0).otherwise(F.col("weight")))  # beside it both cliques are one community
+    cid = dict(got(community.cluster(KG(kg.nodes, heavy)), "id", "cid"))
+    assert cid["n01"] != cid["n09"] and len({cid[f"n{i:02d}"] for i in range(8)}) == 1
+
+
+def test_large_components_are_contracted_level_by_level(spark, monkeypatch):
+    monkeypatch.setattr(community, "LOCAL_EDGES", 20)
+    monkeypatch.setattr(community, "ROUNDS", 2)
+    path = [(f"n{i:03d}", f"n{i + 1:03d}", 1.0, "n000") for i in range(39)]
+    e = spark.createDataFrame(path, "u string, v string, w double, component string").select("component", "u", "v", "w")
+    part = dict(got(community._large_parts(e, 42), "id", "part"))
+    assert len(part) == 40 and len(set(part.values())) <= 12
+    assert sum(part[u] != part[v] for u, v, _, _ in path) == len(set(part.values())) - 1  # parts are connected
+
+
 def test_rows_are_numbered_in_order(spark):
     from kgloom.runtime import number
 
