@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
-from llm_tables import clashing
+import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from llm_tables import clashing
 
 from kgloom.llm import line_dedup as L
 
@@ -17,8 +19,8 @@ def brute(rows, dropped=None):
             continue
         kept = []
         for line in t.split("\n"):
-            k = " ".join(x for x in line.replace("\t", " ").replace("\r", " ").split(" ") if x)
-            if len(k.split(" ")) >= L.MIN_WORDS and k:
+            k = regex.sub(r"[\t\x0b\f\r\p{Z}]+", " ", line).strip(" ")
+            if k and (len(k.split(" ")) >= L.MIN_WORDS or len(k) >= L.MIN_CHARS):
                 if k in seen:
                     if dropped is not None:
                         dropped[i] = dropped.get(i, 0) + 1
@@ -61,7 +63,7 @@ def test_full_filter_says_so():
 
 
 def make(r, n, start=0):
-    pool = [f"shared line number {k} of all" for k in range(30)] + ["Of.", "", "x y", "  spaced   out line  "]
+    pool = [f"shared line number {k} of all" for k in range(30)] + ["Of.", "", "x y", "  spaced   out line  ", "\u3000全角の空白で始まる長い行は一語でも数えられる。", "two\u00a0long\u2003words", "two long words"]
     return [(start + i, "\n".join(r.choice(pool) if r.random() < 0.5 else f"own line {start + i} {j}" for j in range(r.randrange(6)))) for i in range(n)]
 
 
@@ -77,7 +79,7 @@ def test_insertions_and_deletions_are_reversible(docs, spark):
     r = random.Random(2)
     a, b, c = make(r, 30), make(r, 30, 100), make(r, 20, 200)
     index = L.LineIndex(spark).insert(docs(a))
-    one = sorted(map(tuple, index.table("refs").collect()))
+    one = sorted(map(tuple, index.refs().collect()))
     index = index.insert(docs(b))
     assert texts(index.clean(docs(a + b))) == brute(a + b)
     index = index.insert(docs(c))
@@ -87,16 +89,69 @@ def test_insertions_and_deletions_are_reversible(docs, spark):
     left = [x for x in a + b + c if x[0] not in gone]
     assert texts(some.clean(docs(left))) == brute(left)  # lines whose first place went come back elsewhere
     back = index.delete(docs(b + c))
-    assert sorted(map(tuple, back.table("refs").collect())) == one
-    held = {r["shard"]: r["held"] for r in back.table("filters").collect()}
-    count = {r["shard"]: r["count"] for r in back.table("refs").groupBy("shard").count().collect()}
+    assert sorted(map(tuple, back.refs().collect())) == one
+    held = {r["shard"]: L.Cuckoo.load(r["slots"]).held for r in back.filters().collect()}
+    count = {r["shard"]: r["count"] for r in back._shard(back.refs(), back.shards).groupBy("shard").count().collect()}
     assert {s: h for s, h in held.items() if h} == count
 
 
 def test_counts_are_exact(docs, spark):
     rows = [(1, "a b c\na b c\nd e f"), (2, "a b c"), (3, "d e f")]
     index = L.LineIndex(spark).insert(docs(rows[:2])).insert(docs(rows[2:]))
-    assert sorted(r["refs"] for r in index.table("refs").collect()) == [2, 3]
+    assert sorted(r["refs"] for r in index.refs().collect()) == [2, 3]
+
+
+def test_filters_save_lookups(docs, spark):
+    distinct = [(i, "\n".join(f"own line {i} {j} of its own" for j in range(50))) for i in range(100)]
+    first = L.LineIndex(spark).insert(docs(distinct))
+    lines, asked = first.lookups()
+    assert lines == 5000 and asked < 20
+    again = first.insert(docs([(1000 + i, t) for i, t in distinct[:10]] + [(2000 + i, t.replace("own", "new")) for i, t in distinct[:30]]))
+    lines, asked = again.lookups()
+    assert lines == 2000 and 500 <= asked < 520  # the 500 known ones, and hardly any other
+
+
+def test_hot_line_comes_to_its_shard_once_a_batch(spark):
+    import pyarrow as pa
+
+    hot = pa.record_batch({"h1": np.full(10_000, 7), "h2": np.full(10_000, 8), "doc": np.arange(10_000), "line": np.zeros(10_000, np.int32)})
+    out = list(L._combine([hot, hot], 16))
+    assert [b.num_rows for b in out] == [1, 1] and out[0].column("refs")[0].as_py() == 10_000 and out[0].column("doc")[0].as_py() == 0
+
+
+def test_repeated_batches_change_nothing(docs, spark):
+    rows = make(random.Random(3), 30)
+    one = L.LineIndex(spark).insert(docs(rows))
+    two = one.insert(docs(rows)).insert(docs(rows[:5]))
+    state = lambda x: (sorted(map(tuple, x.refs().collect())), sorted(map(tuple, x.places().collect())))
+    assert state(one) == state(two)
+
+
+def test_shards_grow_and_logs_are_compacted(docs, spark, monkeypatch):
+    monkeypatch.setattr(L, "LINES_PER_SHARD", 8)
+    monkeypatch.setattr(L, "MIN_SHARDS", 2)
+    monkeypatch.setattr(L, "COMPACT", 3)
+    r, rows = random.Random(4), []
+    index, shards = L.LineIndex(spark), []
+    for k in range(3):
+        more = make(r, 6 * 4**k, 1000 * k)
+        rows += more
+        index = index.insert(docs(more))
+        shards.append(index.shards)
+        if k == 1:
+            index, rows = index.delete(docs([(rows[3][0], None), (None, None), (77_777, None)])), rows[:3] + rows[4:]
+    assert shards == sorted(shards) and shards[-1] > shards[0] and len(index.log) < 3
+    assert texts(index.clean(docs(rows))) == brute(rows)
+    keys = {i: np.array([r["h1"] for r in rs]) for i in range(index.shards) if (rs := index._shard(index.refs(), index.shards).where(f"shard = {i}").collect())}
+    held = {r["shard"]: L.Cuckoo.load(r["slots"]) for r in index.filters().collect()}
+    assert all(held[i].contains(k).all() and held[i].held == len(k) for i, k in keys.items())
+
+
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_blocks_don_t_matter(docs, monkeypatch, block):
+    monkeypatch.setattr(L, "BLOCK", block)
+    rows = make(random.Random(5), 12)
+    assert texts(L.dedup_lines(docs(rows))) == brute(rows)
 
 
 def test_edge_cases(docs):
