@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -21,11 +21,13 @@ _TABLE = 0x20000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor can read: spark.checkpoint.dir of the session.
 
-    Only where the session names none (unit tests on one machine) a temporary folder is set.
+    Only where the session names none and runs on one machine (unit tests) a temporary folder is set; on a cluster that is an error.
     """
     jsc = spark.sparkContext._jsc.sc()
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if jsc.getCheckpointDir().isEmpty():
+        if not named and not jsc.isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="kgloom-ckpt-"))
     return named or jsc.getCheckpointDir().get()
 
@@ -134,7 +136,8 @@ def components(edges: DataFrame) -> DataFrame:
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         both = both if large else both.where("v <= u")
-        m = both.withColumn("m", F.least(F.min("v").over(Window.partitionBy("u")), F.col("u")))
+        low = both.groupBy("u").agg(F.min("v").alias("m"))  # a hub's rows are met by a join, which can be split
+        m = both.join(low, "u").withColumn("m", F.least("m", "u"))
         out = m.where("v > u") if large else m
         out = out.select(F.col("v").alias("u"), F.col("m").alias("v"))
         if not large:

@@ -64,6 +64,58 @@ def test_large_group_of_edited_copies(docs, words):
     assert got == {1000 + i: 1000 for i in range(1, 300)}
 
 
+def alike(rows, need):
+    """Components of rows of bytes by brute force: the smallest row of each."""
+    root = np.arange(len(rows))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (rows[i] == rows[j]).sum() >= need and root[i] != root[j]:
+                root[root == max(root[i], root[j])] = min(root[i], root[j])
+    return root
+
+
+def drifting(r, n, width=192):
+    """Signatures of which each differs in some bytes from an earlier one: chains, whose ends are unlike, and strangers."""
+    rows = [r.integers(0, 256, width, np.uint8)]
+    for _ in range(n - 1):
+        x = rows[r.integers(max(0, len(rows) - 4), len(rows))].copy()
+        change = r.choice(width, r.integers(20, 120), replace=False)
+        x[change] = r.integers(0, 256, len(change))
+        rows.append(x)
+    return np.array(rows)
+
+
+def test_components_within_a_block():
+    r = np.random.default_rng(0)
+    sig, group = drifting(r, 90), np.repeat(np.arange(9), 10)
+    need = nd._needed(nd.THRESHOLD, 192)
+    expect = np.concatenate([alike(sig[i : i + 10], need) + i for i in range(0, 90, 10)])
+    assert (nd._roots(group.astype(np.uint64), sig, need) == expect).all() and len(set(expect)) > 9
+
+
+def test_buckets_beyond_one_place_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(nd, "MOST", 12)
+    r = np.random.default_rng(1)
+    a, b = drifting(r, 150), drifting(r, 40)
+    sig = np.concatenate([a, b, r.integers(0, 256, (30, 192), np.uint8)])
+    rows = [(i, bytes(x), [1, 2] if i < 150 else [3]) for i, x in enumerate(sig)]
+    reps = spark.createDataFrame(rows, "doc long, sig binary, bands array<long>")
+    got = {x["node"]: x["root"] for x in components(nd.bucket_links(reps)).collect()}
+    need = nd._needed(nd.THRESHOLD, 192)
+    expect = np.concatenate([alike(sig[:150], need), alike(sig[150:], need) + 150])
+    assert [got.get(i, i) for i in range(len(sig))] == expect.tolist() and 2 < len(set(expect[:150].tolist())) < 100
+
+
+def test_hot_bucket_of_copies_needs_no_comparison_of_all_blocks(docs, words, monkeypatch):
+    monkeypatch.setattr(nd, "MOST", 30)
+    base, rows = words(9, 120).split(), []
+    for i in range(200):
+        w = list(base)
+        w[i % 120] = f"edit{i}"
+        rows.append((i, " ".join(w)))
+    assert result(nd.near_duplicates(docs(rows))) == {i: 0 for i in range(1, 200)}
+
+
 def test_edge_cases(docs, words):
     long = words(3, 60_000)
     rows = [(1, None), (2, ""), (3, "  \n"), (4, None), (5, ""), (6, "one"), (7, "one"), (None, words(4, 50)), (8, words(4, 50)), (8, words(4, 50)), (9, long), (10, long + " end"), (11, "!!! ???"), (12, "!!! ???")]
