@@ -9,10 +9,11 @@ and digests of block and payload.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -28,50 +29,90 @@ SCHEMA = "source string, offset long, warc_type string, record_id string, target
 _HEADER = re.compile(rb"[a-zA-Z][a-zA-Z0-9+.-]*:\S.* \d+\r?\Z")
 
 
-_MAGIC, _STEP = b"\x1f\x8b", 4096
+_MAGIC, _STEP, _PIECE = b"\x1f\x8b", 1 << 16, 1 << 18
 
 
-def _salvage(data: bytes, at: int) -> bytes:
-    """What a damaged member at `at` yields up to its damage."""
-    out, d = [], zlib.decompressobj(31)
-    while at < len(data):
-        before = d.copy()
-        try:
-            out.append(d.decompress(data[at : at + _STEP]))
-        except zlib.error:
-            d = before  # byte by byte, so that the failing block's output is kept too
-            try:
-                for k in range(at, min(at + _STEP, len(data))):
-                    out.append(d.decompress(data[k : k + 1]))
-            except zlib.error:
-                pass
-            break
-        at += _STEP
-    return b"".join(out)
+def _salvage(inflater, data: bytes, given: int) -> Iterator[bytes]:
+    """What the inflater yields of damaged data, byte by byte, beyond the first `given` bytes."""
+    try:
+        for k in range(len(data)):
+            got = inflater.decompress(data[k : k + 1])
+            skip = min(given, len(got))
+            given -= skip
+            yield got[skip:]
+    except zlib.error:
+        return
 
 
-def inflate(data: bytes) -> tuple[bytes, list[tuple[int, int]]]:
-    """data, with gzip members, if it starts with one, expanded; and from where to where damaged members' yield stands.
+def expand(data: bytes) -> Iterator[tuple[bytes, int]]:
+    """(piece, 0) of data in turn, with gzip members, if it starts with one, expanded; (b"", n) where n bytes of a damaged member end.
 
-    What a damaged member yields is kept; reading goes on at the next gzip header.
+    What a damaged member yields is kept; reading goes on at the next gzip header. No member is held whole.
     """
     if not data.startswith(_MAGIC):
-        return data, []
-    out, size, cuts, at = [], 0, [], 0
+        yield from ((data[k : k + _PIECE], 0) for k in range(0, len(data), _PIECE))
+        return
+    at = 0
     while at >= 0:
-        d = zlib.decompressobj(31)
+        d, start, made = zlib.decompressobj(31), at, 0
         try:
-            got = d.decompress(data[at:]) + d.flush()
-            sound = d.eof
+            while at < len(data) and not d.eof:
+                before, step, given = d.copy(), data[at : at + _STEP], 0
+                at += len(step)
+                rest = step
+                while rest and not d.eof:
+                    got = d.decompress(rest, _PIECE)
+                    rest, given, made = d.unconsumed_tail, given + len(got), made + len(got)
+                    yield got, 0
         except zlib.error:
-            got, sound = _salvage(data, at), False
-        if not sound and got:
-            cuts.append((size, size + len(got)))
-        out.append(got)
-        size += len(got)
-        # A damaged member may have been read beyond its end, so the next header is sought from its start.
-        at = data.find(_MAGIC, len(data) - len(d.unused_data)) if sound else data.find(_MAGIC + b"\x08", at + 2)
-    return b"".join(out), cuts
+            for got in _salvage(before, step, given):
+                made += len(got)
+                yield got, 0
+        if not d.eof and made:
+            yield b"", made
+        at = data.find(_MAGIC, at - len(d.unused_data)) if d.eof else data.find(_MAGIC + b"\x08", start + 2)
+
+
+class _Reader:
+    """Bytes of one archive in turn, with what is still needed of them; a segment ends where damage follows, or with the archive."""
+
+    def __init__(self, data: bytes):
+        self.pieces, self.buffer, self.pos, self.base = expand(data), bytearray(), 0, 0
+        self.ended = self.over = False
+        self.damaged: int | None = None  # where the damaged member starts that ends the segment
+
+    def fill(self, n: int) -> int:
+        """Reads on until n bytes stand ready or the segment ends; how many do."""
+        while not self.ended and len(self.buffer) - self.pos < n:
+            piece, cut = next(self.pieces, (b"", None))
+            self.buffer += piece
+            if cut is None:
+                self.ended = self.over = True
+            elif cut:
+                self.ended, self.damaged = True, self.base + len(self.buffer) - cut
+        return min(n, len(self.buffer) - self.pos)
+
+    def take(self, n: int) -> bytes:
+        n = self.fill(n)
+        out = bytes(memoryview(self.buffer)[self.pos : self.pos + n])
+        self.pos += n
+        if self.pos > _PIECE:
+            self.base += self.pos
+            del self.buffer[: self.pos]
+            self.pos = 0
+        return out
+
+    def line(self) -> bytes:
+        """The next line, with its end."""
+        at = self.pos
+        while (end := self.buffer.find(b"\n", at)) < 0 and not self.ended:
+            at = len(self.buffer)
+            self.fill(len(self.buffer) - self.pos + 1)
+        return self.take((end + 1 if end >= 0 else len(self.buffer)) - self.pos)
+
+    def next_segment(self) -> bool:
+        self.ended, self.damaged = self.over, None
+        return not self.over
 
 
 @dataclass
@@ -83,22 +124,26 @@ class ArcRecord:
     truncated: bool
 
 
-def parse(data: bytes, cuts: Sequence[tuple[int, int]] = ()) -> Iterator[ArcRecord]:
-    """Records of one expanded ARC file in turn, the version record first.
+def parse(data: bytes) -> Iterator[ArcRecord]:
+    """Records of one ARC file in turn, the version record first; two of them are held at most.
 
     A line that is no header is skipped, so parsing goes on after damage; a block that ends before its
-    declared length is marked truncated. No record reaches beyond the end of a cut (start and end of a damaged part),
-    and the last one in it is marked truncated whatever its length.
+    declared length is marked truncated. No record reaches beyond damage, and the last one before it is marked truncated
+    whatever its length, since where in it the damage lies can't be known.
     """
-    at, version, left = 0, 1, [*cuts, (len(data), len(data))]
-    while at < len(data):
-        while left[0][1] <= at:
-            left.pop(0)
-        damaged, stop = left[0]
-        end = data.find(b"\n", at, stop)
-        end = stop if end < 0 else end
-        line, start = data[at:end].rstrip(b"\r"), at
-        at = min(end + 1, stop)
+    r, version, last, end = _Reader(data), 1, None, 0
+    while True:
+        start = r.base + r.pos
+        line = r.line()
+        if not line:
+            if last is not None:
+                last.truncated |= r.damaged is not None and end > r.damaged
+                yield last
+                last = None
+            if not r.next_segment():
+                return
+            continue
+        line = line.rstrip(b"\n").rstrip(b"\r")
         if not _HEADER.match(line):
             continue
         text = line.decode("utf-8", "replace")
@@ -109,12 +154,13 @@ def parse(data: bytes, cuts: Sequence[tuple[int, int]] = ()) -> Iterator[ArcReco
             continue
         fields = dict(zip(names, parts[1:]))
         length = int(fields["length"])
-        block = data[at : min(at + length, stop)]
-        at = min(at + length, stop)
+        if last is not None:
+            yield last
+        block = r.take(length)
         if first:
             m = re.match(rb"(\d+) ", block)
             version = 2 if m and int(m[1]) >= 2 else 1
-        yield ArcRecord(start, parts[0], fields, block, len(block) < length or (at > damaged and not data[at:stop].strip()))
+        last, end = ArcRecord(start, parts[0], fields, block, len(block) < length), r.base + r.pos
 
 
 def digest(data: bytes) -> str:
@@ -141,7 +187,7 @@ def _uuid(*parts: str) -> str:
 def convert(source: str, data: bytes) -> Iterator[dict]:
     """WARC records equivalent to one ARC file's, as dicts by SCHEMA."""
     made = None
-    for r in parse(*inflate(data)):
+    for r in parse(data):
         date, mime, ip, payload = warc_date(r.fields["date"]), r.fields["mime"], r.fields["ip"], None
         if r.url.startswith("filedesc:"):
             kind, mime, made = "warcinfo", "application/warc-fields", date
@@ -171,7 +217,7 @@ def serialise(rec: dict) -> bytes:
 
 
 _ARROW = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[t]) for n, t in (c.split() for c in SCHEMA.split(", "))])
-FLUSH = 16_000_000  # bytes of records handed on at once
+FLUSH = 4_000_000  # bytes of records handed on at once
 
 
 def _convert(batches):
@@ -199,35 +245,39 @@ def arc_to_warc(files: DataFrame, name_col: str = "path", data_col: str = "conte
     return src.mapInArrow(_convert, SCHEMA)
 
 
-def write_arc(name: str, records: list[tuple[str, str, str, str, bytes]], version: int = 1) -> bytes:
-    """An ARC file of (url, ip, 14-digit date, mime, block) records."""
+def write_arc(name: str, records: list[tuple[str, str, str, str, bytes]], version: int = 1, packed: bool = False) -> bytes:
+    """An ARC file of (url, ip, 14-digit date, mime, block) records; packed: each as a gzip member."""
     extra = " Result-code Checksum Location Offset Filename" if version == 2 else ""
     about = f"{version} 0 kgloom\nURL IP-address Archive-date Content-type{extra} Archive-length\n".encode()
-    out = [f"filedesc://{name} 0.0.0.0 20000101000000 text/plain {len(about)}\n".encode(), about, b"\n"]
+    out = [f"filedesc://{name} 0.0.0.0 20000101000000 text/plain {len(about)}\n".encode() + about + b"\n"]
     for url, ip, date, mime, block in records:
         more = " 200 - - 0 " + name if version == 2 else ""
-        out += [f"{url} {ip} {date} {mime}{more} {len(block)}\n".encode(), block, b"\n"]
-    return b"".join(out)
+        out.append(f"{url} {ip} {date} {mime}{more} {len(block)}\n".encode() + block + b"\n")
+    return b"".join(gzip.compress(x, 1, mtime=0) if packed else x for x in out)
 
 
 def _pages_to_arc(batches):
-    """Each batch of pages as two ARC files, of version 1 (even page ids) and 2 (odd ones)."""
+    """Each page as an ARC file of its host's address and the page, of version 1 (even page ids) or 2 (odd ones), every third one as gzip members."""
     for batch in batches:
-        pages = list(zip(*(c.to_pylist() for c in batch.columns)))
-        for version in (1, 2):
-            records = []
-            for i, url, html in pages:
-                if i % 2 == version - 1:
-                    body = html.encode()
-                    date = f"2001{i % 12 + 1:02d}{i % 28 + 1:02d}{i % 24:02d}{i % 60:02d}00"
-                    records.append((url, f"10.0.{i % 7}.{i % 200}", date, "text/html", b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: %d\r\n\r\n%s" % (len(body), body)))
-            name = f"pages-{pages[0][0]}-{version}.arc" if pages else "empty.arc"
-            yield pa.record_batch([pa.array([name]), pa.array([write_arc(name, records, version)], pa.binary())], names=["path", "content"])
+        for lo in range(0, batch.num_rows, 500):
+            names, files = [], []
+            for i, url, html in zip(*(c.slice(lo, 500).to_pylist() for c in batch.columns)):
+                body, ip, name = html.encode(), f"10.0.{i % 7}.{i % 200}", f"page-{i}.arc"
+                date = f"2001{i % 12 + 1:02d}{i % 28 + 1:02d}{i % 24:02d}{i % 60:02d}00"
+                host = re.search("://([^/?#: ]+)", url)
+                host = host[1] if host else "none"
+                records = [(f"dns:{host}", ip, date, "text/dns", f"{host}. 300 IN A {ip}".encode()), (url, ip, date, "text/html", b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: %d\r\n\r\n%s" % (len(body), body))]
+                names.append(name)
+                files.append(write_arc(name, records, i % 2 + 1, packed=i % 3 == 0))
+            yield pa.record_batch([pa.array(names), pa.array(files, pa.binary())], names=["path", "content"])
 
 
 def pages_as_arc(pages: DataFrame) -> DataFrame:
-    """ARC files that hold every page (page_id, url, html) as an HTTP response; rows with a null are left out."""
-    src = pages.select(F.col("page_id").cast("long").alias("i"), "url", "html").where("i is not null and url is not null and html is not null")
+    """An ARC file for every page (page_id, url, html) whose columns are not null: its host's address and an HTTP response.
+
+    Repeated rows give a file each; empty pages are kept; other columns don't matter; an empty table gives no files.
+    """
+    src = pages.select(F.col("page_id").cast("long").alias("i"), F.col("url").cast("string").alias("u"), F.col("html").cast("string").alias("h")).where("i is not null and u is not null and h is not null")
     return src.mapInArrow(_pages_to_arc, "path string, content binary")
 
 
@@ -241,15 +291,15 @@ def _sql_b32(hexed: str) -> str:
 
 
 ORACLE_SQL = f"""
-WITH b AS (SELECT url, html, 'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: '
-    || octet_length(encode(html)) || chr(13) || chr(10) || chr(13) || chr(10) || html AS block,
-  format('2001-{{:02d}}-{{:02d}}T{{:02d}}:{{:02d}}:00Z', page_id % 12 + 1, page_id % 28 + 1, page_id % 24, page_id % 60) AS warc_date,
-  '10.0.' || page_id % 7 || '.' || page_id % 200 AS ip FROM pages),
-h AS (SELECT *, sha1(block) AS block_hex, sha1(html) AS html_hex FROM b),
-d AS (SELECT *, {_sql_b32("block_hex")} AS block_digest, {_sql_b32("html_hex")} AS payload_digest FROM h),
-i AS (SELECT *, md5('response' || chr(10) || url || chr(10) || warc_date || chr(10) || block_digest) AS m FROM d),
-r AS (SELECT 'response' AS warc_type, url AS target_uri, warc_date, ip, 'application/http; msgtype=response' AS content_type,
-  octet_length(encode(block)) AS content_length, block_digest, payload_digest, block,
-  '<urn:uuid:' || substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21) || '>' AS record_id FROM i)
-SELECT warc_type, record_id, target_uri, warc_date, ip, content_type, content_length, block_digest, payload_digest, block FROM r
+WITH p AS (SELECT page_id, url, html, coalesce(nullif(regexp_extract(url, '://([^/?#: ]+)', 1), ''), 'none') AS host, '10.0.' || page_id % 7 || '.' || page_id % 200 AS ip,
+  format('2001-{{:02d}}-{{:02d}}T{{:02d}}:{{:02d}}:00Z', page_id % 12 + 1, page_id % 28 + 1, page_id % 24, page_id % 60) AS warc_date FROM pages),
+b AS (SELECT 'response' AS warc_type, url, url AS target_uri, warc_date, ip, 'application/http; msgtype=response' AS content_type, html AS payload,
+    'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || octet_length(encode(html)) || chr(13) || chr(10) || chr(13) || chr(10) || html AS block FROM p
+  UNION ALL SELECT 'resource', 'dns:' || host, 'dns:' || host, warc_date, ip, 'text/dns', host || '. 300 IN A ' || ip, host || '. 300 IN A ' || ip FROM p
+  UNION ALL SELECT 'warcinfo', 'filedesc://page-' || page_id || '.arc', NULL, '2000-01-01T00:00:00Z', NULL, 'application/warc-fields', NULL, 'description: converted from ARC' || chr(13) || chr(10) || 'filename: page-' || page_id || '.arc' || chr(13) || chr(10) FROM p),
+h AS (SELECT *, sha1(block) AS block_hex, sha1(payload) AS payload_hex FROM b),
+d AS (SELECT *, {_sql_b32("block_hex")} AS block_digest, CASE WHEN payload IS NOT NULL THEN {_sql_b32("payload_hex")} END AS payload_digest FROM h),
+i AS (SELECT *, md5(warc_type || chr(10) || url || chr(10) || warc_date || chr(10) || block_digest) AS m FROM d)
+SELECT warc_type, '<urn:uuid:' || substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21) || '>' AS record_id,
+  target_uri, warc_date, ip, content_type, octet_length(encode(block)) AS content_length, block_digest, payload_digest, CAST(NULL AS VARCHAR) AS truncated, block FROM i
 """

@@ -51,8 +51,8 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages, written as ARC files of both versions, converted to WARC records."""
-    out = arc.arc_to_warc(arc.pages_as_arc(table(spark, sf_dir, "pages"))).where("warc_type <> 'warcinfo'")
-    return out.select("warc_type", "record_id", "target_uri", "warc_date", "ip", "content_type", "content_length", "block_digest", "payload_digest", F.decode("block", "utf-8").alias("block"))
+    out = arc.arc_to_warc(arc.pages_as_arc(table(spark, sf_dir, "pages")))
+    return out.select("warc_type", "record_id", "target_uri", "warc_date", "ip", "content_type", "content_length", "block_digest", "payload_digest", "truncated", F.decode("block", "utf-8").alias("block"))
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

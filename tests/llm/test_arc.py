@@ -24,7 +24,7 @@ def test_convert(version, packed):
         data = gzip.compress(data)
     elif packed == "members":  # one member for each record, as archives have it
         parts = [arc.write_arc("f.arc", RECORDS[:k], version) for k in range(len(RECORDS) + 1)]
-        data = b"".join(gzip.compress(b[len(a) :]) for a, b in zip([b"", *parts], parts))
+        data = b"".join(gzip.compress(b[len(a) :], mtime=0) for a, b in zip([b"", *parts], parts))
     info, page, dns, ftp, odd = arc.convert("f", data)
     assert (info["warc_type"], info["target_uri"], info["warc_date"]) == ("warcinfo", None, "2000-01-01T00:00:00Z")
     assert (page["warc_type"], page["target_uri"], page["warc_date"], page["ip"], page["content_type"]) == ("response", "http://a.example/x y?z=1", "2001-02-03T04:05:06Z", "1.2.3.4", "application/http; msgtype=response")
@@ -66,7 +66,7 @@ def test_damaged_middle_member(version, where):
     noise = random.Random(2).randbytes(20_000).hex().encode()
     records = [(f"http://{c}.example/", "1.1.1.1", "20010101000000", "text/plain", c.encode() + noise) for c in "abcd"]
     parts = [arc.write_arc("f.arc", records[:k], version) for k in range(len(records) + 1)]
-    members = [bytearray(gzip.compress(b[len(a) :])) for a, b in zip([b"", *parts], parts)]
+    members = [bytearray(gzip.compress(b[len(a) :], mtime=0)) for a, b in zip([b"", *parts], parts)]
     if where == "crc":
         members[2][-6] ^= 255
     elif where == "middle":
@@ -89,6 +89,33 @@ def test_damaged_middle_member(version, where):
         assert by["http://b.example/"]["block"] == records[1][4]
 
 
+def test_one_damaged_pair_of_bytes_loses_little():
+    noise = random.Random(3)
+    records = [(f"http://h{k}.example/", "1.1.1.1", "20010101000000", "text/plain", noise.randbytes(3000).hex().encode()) for k in range(40)]
+    whole = arc.write_arc("f.arc", records)
+    one = bytearray(gzip.compress(whole, mtime=0))
+    one[len(one) // 2 : len(one) // 2 + 2] = b"\xff\xff"
+    got = list(arc.convert("f", bytes(one)))
+    assert 15 <= len(got) < 41 and got[-1]["truncated"] == "length" and all(r["truncated"] is None for r in got[:-1])
+    assert [r["block"] for r in got[1:-1]] == [r[4] for r in records[: len(got) - 2]]
+    parts = [arc.write_arc("f.arc", records[:k]) for k in (0, 10, 20, 40)]
+    members = [bytearray(gzip.compress(b[len(a) :], mtime=0)) for a, b in zip([b"", *parts], parts)]
+    members[2][len(members[2]) // 2 : len(members[2]) // 2 + 2] = b"\xff\xff"
+    got = {r["target_uri"]: r for r in arc.convert("f", b"".join(members))}
+    assert all(got[r[0]]["block"] == r[4] and got[r[0]]["truncated"] is None for r in records[:10] + records[20:]) and len(got) > 34 and sum(r["truncated"] == "length" for r in got.values()) == 1
+
+
+def test_large_archives_are_read_piece_by_piece():
+    import tracemalloc
+
+    data = gzip.compress(arc.write_arc("f.arc", [(f"http://h{k}.example/", "1.1.1.1", "20010101000000", "text/plain", b"x" * 1_000_000) for k in range(60)]), 1)
+    tracemalloc.start()
+    n = sum(len(r.block) == 1_000_000 for r in arc.parse(data))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 60 and peak < 12_000_000
+
+
 @pytest.mark.parametrize("text, iso", [("20240229235959", "2024-02-29T23:59:59Z"), ("20230229000000", None), ("2024", "2024-01-01T00:00:00Z"), ("202402", "2024-02-01T00:00:00Z"), ("", None), ("20241", None), ("20240101250000", None), ("x", None)])
 def test_dates(text, iso):
     assert arc.warc_date(text) == iso
@@ -111,4 +138,4 @@ def test_pages_round_trip(spark, data):
     got = {r["target_uri"]: bytes(r["block"]).partition(b"\r\n\r\n")[2].decode() for r in arc.arc_to_warc(files).where("warc_type = 'response'").collect()}
     assert got == {r["url"]: r["html"] for r in pages.collect()}
     odd = spark.createDataFrame([(1, None, "x"), (None, "http://a.b/", "x"), (2, "http://a.b/", None)], "page_id long, url string, html string")
-    assert arc.arc_to_warc(arc.pages_as_arc(odd)).where("warc_type <> 'warcinfo'").collect() == []
+    assert arc.arc_to_warc(arc.pages_as_arc(odd)).collect() == []
