@@ -21,8 +21,7 @@ from . import common as C
 BUCKETS = 1 << 17
 NGRAMS = (3, 4)
 DIM = 12
-EPOCHS = 8
-UPDATES = 1000  # small training sets are gone through more often, for so many updates at least
+STEPS = 1200  # updates, however many labelled documents there are
 RATE = 4.0
 BATCH = 16
 MAX_TRAIN = 3000
@@ -41,7 +40,7 @@ def _features(texts: list[str | None], buckets: int = BUCKETS, ngrams: tuple[int
     begin, end = C.runs(~gap)
     words, at = C.span_hashes(cp, begin, end), np.searchsorted(begin, starts)
     yield (words % C.U64(buckets - 1)).astype(np.int32) + 1, at
-    # A word pair is hashed by what differs between its words, so every immediate repetition is one feature.
+    # A word pair is hashed by what differs between its words, so that immediate repetition, of whatever word, is one feature.
     pair = (C.mix(words[1:] ^ words[:-1]) % C.U64(buckets - 1)).astype(np.int32) + 1
     pair = np.append(pair, 0)
     pair[at[1:][at[1:] > 0] - 1] = 0  # a text's last word has no successor
@@ -97,7 +96,17 @@ def bags(texts: list[str], buckets: int = BUCKETS) -> list[tuple[np.ndarray, np.
     return out
 
 
-def fit(texts: list[str], good: np.ndarray, buckets: int = BUCKETS, dim: int = DIM, epochs: int = EPOCHS, seed: int = 5) -> Model:
+def _batches(train: np.ndarray, steps: int, rng):
+    """`steps` batches, from one shuffled pass over the rows after the other."""
+    left = np.zeros(0, np.int64)
+    for _ in range(steps if len(train) else 0):
+        while len(left) < min(BATCH, len(train)):
+            left = np.concatenate([left, rng.permutation(train)])
+        yield left[:BATCH]
+        left = left[BATCH:]
+
+
+def fit(texts: list[str], good: np.ndarray, buckets: int = BUCKETS, dim: int = DIM, steps: int = STEPS, seed: int = 5) -> Model:
     """Trains on all but every HELD_OUT-th text; those set the cut-off and give `held_out` figures."""
     rng = np.random.default_rng(seed)
     sets, y = bags(texts, buckets), np.asarray(good, np.int64)
@@ -107,27 +116,20 @@ def fit(texts: list[str], good: np.ndarray, buckets: int = BUCKETS, dim: int = D
     out, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
     share = np.bincount(y[train], minlength=2) / max(1, len(train))
     balance = np.where(share > 0, 0.5 / np.maximum(share, 1e-9), 0).astype(np.float32)  # both classes weigh the same
-    a_round = max(1, -(-len(train) // BATCH))
-    epochs = max(epochs, -(-UPDATES // a_round)) if len(train) else 0
-    steps, step = max(1, epochs * a_round), 0
-    for _ in range(epochs):
-        order = rng.permutation(train)
-        for b in range(0, len(order), BATCH):
-            pick = order[b : b + BATCH]
-            ids, w = np.concatenate([sets[i][0] for i in pick]), np.concatenate([sets[i][1] for i in pick])
-            n = np.fromiter((len(sets[i][0]) for i in pick), np.int64, len(pick))
-            x = np.add.reduceat(emb[ids] * w[:, None], np.cumsum(n) - n)
-            z = x @ out + bias
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(pick)), y[pick]] -= 1
-            p *= (balance[y[pick]] / len(pick))[:, None]
-            rate = np.float32(RATE * (1 - step / steps))
-            grad = p @ out.T
-            out -= rate * (x.T @ p)
-            bias -= rate * p.sum(0)
-            np.subtract.at(emb, ids, rate * len(pick) * w[:, None] * np.repeat(grad, n, 0))
-            step += 1
+    for step, pick in enumerate(_batches(train, steps, rng)):
+        x = np.stack([w @ emb[ids] for ids, w in (sets[i] for i in pick)])
+        z = x @ out + bias
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        p[np.arange(len(pick)), y[pick]] -= 1
+        p *= (balance[y[pick]] / len(pick))[:, None]
+        rate = np.float32(RATE * (1 - step / steps))
+        grad = (rate * len(pick)) * (p @ out.T)
+        out -= rate * (x.T @ p)
+        bias -= rate * p.sum(0)
+        for i, g in zip(pick, grad):
+            ids, w = sets[i]  # distinct ids, so plain subtraction will do
+            emb[ids] -= w[:, None] * g
     weights = emb @ out
     weights[0] = 0
     model = Model(weights.astype(np.float32), bias, 0.5, {})
@@ -144,8 +146,8 @@ def fit(texts: list[str], good: np.ndarray, buckets: int = BUCKETS, dim: int = D
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """Fits on labelled documents with text: of more than `max_train`, those with the smallest hash of the id."""
     y = labels.select(F.col("doc_id").cast("long").alias("i"), F.col("quality").cast("int").alias("good")).where("i is not null and good in (0, 1)").groupBy("i").agg(F.max("good").alias("good"))
-    y = y.orderBy(F.xxhash64("i"), "i").limit(max_train)
     x = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).where("trim(t) <> ''")
+    y = y.join(x.select("i"), "i", "left_semi").orderBy(F.xxhash64("i"), "i").limit(max_train)  # ids alone are moved
     rows = x.join(F.broadcast(y), "i").groupBy("i", "good").agg(F.min("t").alias("t")).orderBy(F.xxhash64("i"), "i").toPandas()  # at most max_train
     return fit(rows["t"].tolist(), rows["good"].to_numpy())
 
@@ -169,7 +171,7 @@ def score(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Dat
     """(doc_id, p_good, keep) of every row of docs, whole texts.
 
     keep: p_good is not below the cut-off, which rejects REJECT_GOOD of the held-out good documents at most
-    and is 0.5 at most. A text that is null or blank has p_good null and is not kept. Ids, null or repeated,
+    and is 0.5 at most; a document that ties with it is kept. A text that is null or blank has p_good null and is not kept. Ids, null or repeated,
     are passed through. Labels that are null, other than 0 or 1, or of unknown documents are ignored; of two labels for a
     document the better counts. Without labels nothing is learned: p_good is 0.5 and every text with words is kept. Other columns don't matter; an empty
     table gives no rows.

@@ -38,6 +38,49 @@ def test_scores_equal_the_network(words):
         assert abs(1 / (1 + np.exp(z[0] - z[1])) - p) < 1e-5
 
 
+def reference(texts, y, steps, seed=5):
+    """The same network written plainly: counts of features for each text, full matrices, a gradient step a batch; probabilities of the good class."""
+    rng, n = np.random.default_rng(seed), 512
+    x = np.zeros((len(texts), n))
+    for r, t in zip(x, texts):
+        for ids, _ in Q._features([t], n):
+            for i in ids[ids > 0]:
+                r[i] += 1
+        r /= max(1, r.sum())
+    train = [i for i in range(len(texts)) if i % Q.HELD_OUT != Q.HELD_OUT - 1]
+    emb, out, bias = rng.uniform(-1 / Q.DIM, 1 / Q.DIM, (n, Q.DIM)), np.zeros((Q.DIM, 2)), np.zeros(2)
+    share = [sum(y[i] == c for i in train) / len(train) for c in (0, 1)]
+    queue = []
+    for step in range(steps):
+        while len(queue) < Q.BATCH:
+            queue += rng.permutation(train).tolist()
+        batch, queue = queue[: Q.BATCH], queue[Q.BATCH :]
+        h = x[batch] @ emb
+        p = np.exp(h @ out + bias)
+        p /= p.sum(1, keepdims=True)
+        loss = np.array([[(p[k, c] - (y[i] == c)) * 0.5 / share[y[i]] / len(batch) for c in (0, 1)] for k, i in enumerate(batch)])
+        rate = Q.RATE * (1 - step / steps)
+        grad = x[batch].T @ (loss @ out.T)  # as in operator and paper, the step on the vectors is not divided by the batch
+        out -= rate * h.T @ loss
+        bias -= rate * loss.sum(0)
+        emb -= rate * len(batch) * grad
+    p = np.exp(x @ emb @ out + bias)
+    return p[:, 1] / p.sum(1)
+
+
+def test_equals_a_plain_network(words):
+    texts = [words(i, 20) if i % 3 else words(i, 20).upper() for i in range(50)]
+    y = [int(i % 3 > 0) for i in range(50)]
+    m = Q.fit(texts, np.array(y), buckets=512, steps=400)
+    assert np.abs(m.good(texts) - reference(texts, y, 400)).max() < 1e-3 and np.ptp(m.good(texts)) > 0.2
+
+
+def test_labels_of_unknown_documents_use_nothing_up(spark, docs, words):
+    rows = [(i, words(i, 40) if i % 2 else words(i, 40).upper()) for i in range(100)]
+    lab = labelled(spark, [(i, i % 2, 0) for i in range(100)] + [(10_000 + i, 0, 0) for i in range(3000)])
+    assert sum(r["keep"] for r in Q.score(docs(rows), lab, 90).collect()) == 50
+
+
 def test_held_out_accuracy(spark, words):
     import duckdb
 
