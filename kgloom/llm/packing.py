@@ -17,7 +17,7 @@ from . import common as C
 from .sentencepiece_codec import MODEL, with_token_counts
 
 CAPACITY = 2048
-BUCKETS = 64  # each length is ranked in so many parts at once
+PER_BUCKET = 100_000  # pieces that are ranked in one place, about: each length is ranked in as many parts as that takes
 
 
 def best_fill(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -74,14 +74,16 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", l
 
     A sequence longer than `capacity` is cut into full windows and a rest; no window holds more than
     `capacity`. Null, zero and negative lengths hold nothing and give no row; null ids are ignored; rows that share an id are
-    packed each for itself, and ties are placed in the order of (id, start). Other columns don't matter.
+    packed each for itself, and ties are placed by a hash of (id, start), then by id and start. Other columns, whatever their names, don't matter.
     An empty table gives no rows. The assignment does not depend on how the input is partitioned.
     """
     src = lengths.select(F.col(id_col).cast("long").alias("doc"), F.col(length_col).cast("long").alias("n")).where("doc is not null and n > 0")
     cap = F.lit(capacity)
     pieces = src.select("doc", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {capacity}"))).alias("k"))
     pieces = pieces.select("doc", (F.col("k") * cap).alias("start"), F.least(F.col("n") - F.col("k") * cap, cap).cast("long").alias("length"))
-    pieces = C.cut(pieces.withColumn("bucket", F.pmod(F.xxhash64("doc"), F.lit(BUCKETS)).cast("int")))
+    pieces = C.cut(pieces)
+    buckets = max(1, -(-pieces.count() // PER_BUCKET))
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc", "start"), F.lit(buckets)).cast("int"))  # the pieces of one document spread, too
     parts = C.cut(pieces.groupBy("length", "bucket").agg(F.count("*").alias("n")))
     offset = parts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
     histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
