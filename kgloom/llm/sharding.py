@@ -41,12 +41,13 @@ def fill(names: list[str], slots: int = SLOTS) -> np.ndarray:
 def shard(rows: DataFrame, id_col: str = "doc_id", names: list[str] | None = None, slots: int = SLOTS) -> DataFrame:
     """(id, slot, shard) of every row; shard is a name's index. Default: 256 shards named shard-0000 on.
 
-    Rows with equal ids, repeated rows included, share a shard, on every run and cluster. A null id counts as the empty string; any
-    id type goes by its string form; other columns don't matter; an empty table gives no rows.
+    Rows with equal ids, repeated rows included, and so of one hot id, share a shard, on every run and cluster. A null id counts as the empty string; any
+    id type goes by its string form; other columns don't matter; an empty table gives no rows. Where the id
+    is itself called slot or shard, the new column of that name has an underscore more.
     """
     names = names or [f"shard-{i:04d}" for i in range(SHARDS)]
-    spark = rows.sparkSession
-    table = spark.createDataFrame(list(enumerate(fill(names, slots).tolist())), "slot int, shard int")
+    table = rows.sparkSession.createDataFrame(list(enumerate(fill(names, slots).tolist())), "__slot int, __shard int")
     slot = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(slots)).cast("int")
-    placed = rows.select(F.col(id_col), slot.alias("slot"))
-    return placed.join(F.broadcast(table), "slot").select(id_col, "slot", "shard")
+    placed = rows.select(F.col(id_col).alias("__id"), slot.alias("__at")).join(F.broadcast(table), F.col("__at") == F.col("__slot"))
+    free = lambda c: c + "_" if c == id_col.lower() else c
+    return placed.select(F.col("__id").alias(id_col), F.col("__slot").alias(free("slot")), F.col("__shard").alias(free("shard")))
