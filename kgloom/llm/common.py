@@ -115,7 +115,7 @@ def byte_ranges(texts: pa.Array, most: int = 4_000_000):
         lo = hi
 
 
-def parts(texts: pa.Array, most: int = 4_000_000):
+def parts(texts: pa.Array, most: int = 1_000_000):
     """(from, to, texts) of successive ranges, so that a batch is never held twice."""
     for lo, hi in byte_ranges(texts, most):
         yield lo, hi, texts.slice(lo, hi - lo).to_pylist()

@@ -184,7 +184,11 @@ def _decode(batches, model: str):
 
 
 def decode(tokens: DataFrame, model: str = MODEL, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(id, ids, text): the inverse of encode(). Null ids give a null text, an empty list an empty one."""
+    """(id, ids, text): the inverse of encode(), one row for each row of tokens.
+
+    A null list gives a null text, an empty one an empty text; null and repeated ids and repeated rows are kept as they are; lists of any
+    length are read whole; other columns are not looked at, whatever their names; an empty table gives no rows.
+    """
     src = tokens.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
     return src.mapInArrow(lambda it: _decode(it, model), "id long, ids array<int>, text string").withColumnRenamed("id", id_col)
 

@@ -42,6 +42,8 @@ def url_tokens(url: F.Column) -> F.Column:
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_pages: int = MIN_PAGES) -> DataFrame:
     """(rule array<string>, confidence, support) from (tokens array<string>, bad boolean); none from an empty table.
 
+    Repeated rows count each; rows without tokens or verdict count for nothing; other columns don't matter.
+
     A rule needs `min_support` of all labelled rows, and `min_pages` of them at least, to hold its tokens and be bad.
 
     A rule is dropped where a proper part of its tokens is a rule of at least the same confidence.
@@ -63,7 +65,10 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
 
 
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(id, confidence, rules) of the urls (id, tokens) that any rule matches: the best confidence and all rules' tokens, joined by blanks."""
+    """(id, confidence, rules) of the urls (id, tokens) that any rule matches: the best confidence and all rules' tokens, joined by blanks.
+
+    Rows that share an id count as one; a null id is an id of its own; rows without tokens match nothing; other columns don't matter; without rules there are no rows.
+    """
     tokens = rules.select("rule", "confidence", F.explode("rule").alias("t"))
     often = tokens.groupBy("t").agg(F.count("*").alias("n"))
     rarest = F.row_number().over(Window.partitionBy("rule").orderBy("n", "t"))

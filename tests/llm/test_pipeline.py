@@ -50,3 +50,5 @@ def test_edge_cases(spark, docs, data, words):
         assert stage(spark, one, data).collect() == []
     lost = P.line_dedup_stage(spark, docs([(1, "one two three"), (2, "one two three"), (3, None), (4, "")]), data)
     assert sorted(r["doc_id"] for r in lost.collect()) == [1, 3, 4]
+    bare = P.line_dedup_stage(spark, docs([(1, "one two three"), (2, "one two three\nfour five six")]).drop("n_chars"), data)
+    assert bare.columns == ["doc_id", "text", "lang", "source"] and {r["doc_id"]: r["text"] for r in bare.collect()} == {1: "one two three", 2: "four five six"}
