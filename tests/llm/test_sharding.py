@@ -58,7 +58,7 @@ def test_rows(spark, docs):
 
 def test_ids_named_as_the_new_columns(spark):
     df = spark.createDataFrame([(1, 2), (3, 4)], "slot long, shard long")
-    a, b = shard(df, "slot"), shard(df, "shard")
+    a, b = S.shard(df, "slot"), S.shard(df, "shard")
     assert a.columns == ["slot", "slot_", "shard"] and b.columns == ["shard", "slot", "shard_"]
-    want = {r["doc_id"]: (r["slot"], r["shard"]) for r in shard(df.toDF("doc_id", "other")).collect()}
+    want = {r["doc_id"]: (r["slot"], r["shard"]) for r in S.shard(df.toDF("doc_id", "other")).collect()}
     assert {r["slot"]: (r["slot_"], r["shard"]) for r in a.collect()} == want
