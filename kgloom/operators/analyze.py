@@ -121,13 +121,30 @@ def cross_community_surprises(kg: KG, n: int = 5) -> DataFrame:
     return oriented(top(e, order, n).withColumn("note", note), "note", "rank")
 
 
-def surprising_connections(kg: KG, n: int = 5) -> DataFrame:
-    """Edges between files where there are several; else, or where there are none, edges between communities."""
+def bridging_edges(kg: KG, betweenness: DataFrame, n: int = 5) -> DataFrame:
+    """The n edges of highest betweenness (u, v, betweenness), for graphs without communities."""
+    e = edge_facts(kg, "label", "source_file").join(betweenness.select("u", "v", "betweenness"), ["u", "v"])
+    best = top(e, [F.desc(F.round("betweenness", 9)), F.asc("u_ord"), F.asc("ord")], n)
+    both = best.select(name("u").alias("source"), name("v").alias("target"), F.col("u_source_file").alias("source_file"), F.col("v_source_file").alias("target_file"), F.coalesce("confidence", F.lit("EXTRACTED")).alias("confidence"), F.coalesce("relation", F.lit("")).alias("relation"), "betweenness", "rank")
+    return both.withColumn("note", F.concat(F.lit("holds the graph together (betweenness "), F.format_string("%.3f", "betweenness"), F.lit(")"))).drop("betweenness")
+
+
+def surprising_connections(kg: KG, n: int = 5, edge_betweenness: DataFrame | None = None) -> DataFrame:
+    """Edges between files where there are several; else, or where there are none, edges between communities.
+
+    In a graph without communities the latter are the edges of highest betweenness: (u, v, betweenness), worked out here where it isn't given.
+    """
     files = kg.nodes.where("source_file <> ''").agg(F.count_distinct("source_file")).first()[0]
     if files > 1:
         found = cross_file_surprises(kg, n).select("rank", "source", "target", "confidence", "relation", F.col("why").alias("reason"))
         if not found.isEmpty():
             return found
+    if kg.nodes.where("community is not null").isEmpty():
+        if edge_betweenness is None:
+            from .traverse import betweenness
+
+            edge_betweenness = betweenness(kg)[1]
+        return bridging_edges(kg, edge_betweenness, n).select("rank", "source", "target", "confidence", "relation", F.col("note").alias("reason"))
     return cross_community_surprises(kg, n).select("rank", "source", "target", "confidence", "relation", F.col("note").alias("reason"))
 
 

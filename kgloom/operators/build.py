@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import cut
 from ..schema import CONFIDENCES, EDGE_KEYS, FILE_TYPES, KG, NODE_KEYS, score_default
 
 NODE_ATTRS = ("label", "file_type", "source_file", "source_location", "source_url", "captured_at", "author", "contributor", "community")
@@ -79,10 +80,11 @@ def build_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _collapse(e: DataFrame, *more: Column) -> DataFrame:
-    attrs, e = EDGE_ATTRS, _whole(e, EDGE_ATTRS)
-    ends = F.max_by(F.struct("source", "target"), F.col("ord"))
-    out = e.groupBy("u", "v").agg(ends.alias("ends"), *[_last(a) for a in attrs], F.min("ord").alias("ord"), *more)
-    return out.select("u", "v", F.col("ends.source").alias("src"), F.col("ends.target").alias("tgt"), *attrs, "ord", *([c for c in ("u_ord",) if more]))
+    e = _whole(e, EDGE_ATTRS)
+    forward = F.max_by(F.col("source") == F.col("u"), F.col("ord"))
+    out = e.groupBy("u", "v").agg(forward.alias("f"), *[_last(a) for a in EDGE_ATTRS], F.min("ord").alias("ord"), *more)
+    src, tgt = (F.when(F.col("f"), a).otherwise(F.col(b)) for a, b in ((F.col("u"), "v"), (F.col("v"), "u")))
+    return out.select("u", "v", src.alias("src"), tgt.alias("tgt"), *EDGE_ATTRS, "ord", *([c for c in ("u_ord",) if more]))
 
 
 def build_graph(nodes: DataFrame, edges: DataFrame, hyperedges: DataFrame | None = None) -> KG:
@@ -91,6 +93,11 @@ def build_graph(nodes: DataFrame, edges: DataFrame, hyperedges: DataFrame | None
     return KG(n, build_edges(n, edges), hyperedges)
 
 
+def keep(kg: KG) -> KG:
+    """kg with its tables written in the shared folder, so that nothing that reads them builds them again."""
+    return KG(cut(kg.nodes), cut(kg.edges), kg.hyperedges)
+
+
 def build_edges_lenient(edges: DataFrame) -> DataFrame:
     """As build_edges, but ends need not be nodes; u is the smaller id."""
     e = edges.where("source is not null and target is not null")

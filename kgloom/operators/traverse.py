@@ -1,17 +1,21 @@
 """Point queries: keyword search, bounded traversal, paths, betweenness, token budgets.
 
-Traversals of bounded depth are one plan: `depth` rounds of join and min-aggregate over an adjacency with a zero-weight
-loop at every node, so distances never grow and nothing is collected or checkpointed between rounds.
+A traversal lays the adjacency out by node once; each round joins only its frontier with it and writes what it met anew, so that
+plans stay small whatever the depth, and ends with the first round that meets nothing.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..runtime import cut, number
 from ..schema import KG
 from .analyze import god_nodes, top
 from .build import adjacency, degrees
@@ -72,13 +76,32 @@ def explain_node(kg: KG, term: str) -> DataFrame:
 
 
 # --- traversal
-def bfs(kg: KG, starts: DataFrame, depth: int = 3) -> DataFrame:
-    """(id, dist) of nodes within `depth` steps of the starts (id)."""
-    a = adjacency(kg.edges.where("u <> v")).withColumn("w", F.lit(1)).union(kg.nodes.select("id", "id", F.lit(0)))
-    d = starts.join(kg.nodes.select("id"), "id", "left_semi").select("id", F.lit(0).alias("dist")).distinct()
+def by_node(kg: KG) -> DataFrame:
+    """(src, dst) both ways without loops, partitioned by src and held on the executors' disks; unpersist() it after use."""
+    return adjacency(kg.edges.where("u <> v")).repartition("src").persist(StorageLevel.DISK_ONLY)
+
+
+def _rounds(near: DataFrame, first: DataFrame, depth: int, step, merge: list[Column]) -> DataFrame:
+    """`first` and the rows met in `depth` rounds. step: columns of a met row, besides its id; merge: how rows that meet at a node become one."""
+    met = frontier = cut(first)
     for _ in range(depth):
-        d = d.join(a, d["id"] == a["src"]).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("dist") + F.col("w")).alias("dist"))
-    return d
+        found = frontier.join(near, frontier["id"] == near["src"]).select(F.col("dst").alias("id"), *step)
+        found = found.groupBy("id").agg(*merge)  # before the anti-join: a hub is met many times
+        frontier = cut(found.join(met.select("id"), "id", "left_anti"))
+        if frontier.isEmpty():
+            break
+        met = met.union(frontier)
+    return met
+
+
+def bfs(kg: KG, starts: DataFrame, depth: int = 3, near: DataFrame | None = None) -> DataFrame:
+    """(id, dist) of nodes within `depth` steps of the starts (id). near: by_node(kg), where it is there already."""
+    first = starts.select("id").distinct().join(kg.nodes.select("id"), "id", "left_semi").select("id", F.lit(0).alias("dist"))
+    a = by_node(kg) if near is None else near
+    out = _rounds(a, first, depth, [(F.col("dist") + 1).alias("dist")], [F.min("dist").alias("dist")])
+    if near is None:
+        a.unpersist()
+    return out
 
 
 def bfs_edges(kg: KG, dist: DataFrame, depth: int) -> DataFrame:
@@ -118,12 +141,11 @@ def dfs(kg: KG, starts: DataFrame, depth: int = 3) -> DataFrame:
 
 def shortest_paths(kg: KG, source: str, max_hops: int = 8) -> DataFrame:
     """(id, hops, path) of nodes within max_hops of source; of equal paths the smallest array of ids."""
-    a = adjacency(kg.edges.where("u <> v")).withColumn("w", F.lit(1)).union(kg.nodes.select("id", "id", F.lit(0)))
-    d = kg.nodes.where(F.col("id") == source).select("id", F.lit(0).alias("hops"), F.array("id").alias("path"))
-    for _ in range(max_hops):
-        step = F.struct((F.col("hops") + F.col("w")).alias("hops"), F.when(F.col("w") == 0, F.col("path")).otherwise(F.array_append("path", F.col("dst"))).alias("path"))
-        d = d.join(a, d["id"] == a["src"]).groupBy(F.col("dst").alias("id")).agg(F.min(step).alias("s")).select("id", "s.hops", "s.path")
-    return d
+    first = kg.nodes.where(F.col("id") == source).select("id", F.lit(0).alias("hops"), F.array("id").alias("path"))
+    a = by_node(kg)
+    out = _rounds(a, first, max_hops, [(F.col("hops") + 1).alias("hops"), F.array_append("path", F.col("dst")).alias("path")], [F.min("hops").alias("hops"), F.min("path").alias("path")])
+    a.unpersist()
+    return out
 
 
 def shortest_path(kg: KG, source: str, target: str, max_hops: int = 8) -> str:
@@ -140,22 +162,29 @@ def shortest_path(kg: KG, source: str, target: str, max_hops: int = 8) -> str:
 
 
 # --- text of a subgraph
-def subgraph_lines(kg: KG, ids: DataFrame, most: int | None = None) -> DataFrame:
-    """(part, place, line): a line for each node, best connected first, then one for each edge between them; at most `most` of either.
-
-    Without `most`, places are numbered over the whole subgraph; leave them out where they aren't needed.
-    """
+def _lines(kg: KG, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines of nodes (place, line) and of the edges between them (u_ord, ord, line)."""
     n = kg.nodes.join(ids.select("id"), "id", "left_semi").join(degrees(kg), "id")
     clean = lambda c: T.sanitize_label(F.coalesce(c, F.lit("")))
-    nodes = n.select(F.lit(0).alias("part"), F.struct((-F.col("degree")).alias("d"), F.struct("ord").alias("o")).alias("place"), F.concat(F.lit("NODE "), clean(F.coalesce("label", "id")), F.lit(" [src="), F.coalesce("source_file", F.lit("")), F.lit(" community="), F.coalesce(F.col("community").cast("string"), F.lit("")), F.lit("]")).alias("line"))
+    nodes = n.select(F.struct((-F.col("degree")).alias("d"), F.struct("ord").alias("o")).alias("place"), F.concat(F.lit("NODE "), clean(F.coalesce("label", "id")), F.lit(" [src="), F.coalesce("source_file", F.lit("")), F.lit(" community="), F.coalesce(F.col("community").cast("string"), F.lit("")), F.lit("]")).alias("line"))
     lab = n.select("id", clean(F.coalesce("label", "id")).alias("l"))
     e = kg.edges.join(lab.withColumnsRenamed({"id": "src", "l": "ls"}), "src").join(lab.withColumnsRenamed({"id": "tgt", "l": "lt"}), "tgt")
     text = F.concat(F.lit("EDGE "), F.col("ls"), F.lit(" --"), F.coalesce("relation", F.lit("")), F.lit(" ["), F.coalesce("confidence", F.lit("")), F.lit("]--> "), F.col("lt"))
-    if most is not None:
-        nodes, e = nodes.orderBy("place").limit(most), e.orderBy("u_ord", "ord").limit(most)
-    nodes = nodes.withColumn("k", F.row_number().over(Window.orderBy("place"))).select("part", F.col("k").cast("long").alias("place"), "line")
-    edges = e.select(F.lit(1).alias("part"), F.row_number().over(Window.orderBy("u_ord", "ord")).cast("long").alias("place"), text.alias("line"))
-    return nodes.union(edges)
+    return nodes, e.select("u_ord", "ord", text.alias("line"))
+
+
+def subgraph_lines(kg: KG, ids: DataFrame, most: int | None = None) -> DataFrame:
+    """(part, place, line): a line for each node, best connected first, then one for each edge between them; at most `most` of either.
+
+    Without `most` rows are numbered by ranges, never in one task.
+    """
+    nodes, edges = _lines(kg, ids)
+    if most is None:
+        n, e = number(nodes, [F.col("place")], "k"), number(edges, [F.col("u_ord"), F.col("ord")], "k")
+        return n.select(F.lit(0).alias("part"), (F.col("k") + 1).alias("place"), "line").union(e.select(F.lit(1).alias("part"), (F.col("k") + 1).alias("place"), "line"))
+    nodes, edges = nodes.orderBy("place").limit(most), edges.orderBy("u_ord", "ord").limit(most)
+    nodes = nodes.select(F.lit(0).alias("part"), F.row_number().over(Window.orderBy("place")).cast("long").alias("place"), "line")
+    return nodes.union(edges.select(F.lit(1).alias("part"), F.row_number().over(Window.orderBy("u_ord", "ord")).cast("long").alias("place"), "line"))
 
 
 def within_budget(lines: DataFrame, tokens: int) -> DataFrame:
@@ -180,20 +209,21 @@ def query_graph(kg: KG, question: str, mode: str = "bfs", depth: int = 3, token_
     return "\n".join([head, "", *[r["line"] for r in kept], *(["... (cut at the token budget)"] if cut else [])])
 
 
-def query_tokens(kg: KG, question: str, depth: int = 3) -> DataFrame:
+def query_tokens(kg: KG, question: str, depth: int = 3, near: DataFrame | None = None) -> DataFrame:
     """One row: lines and estimated tokens of the subgraph for a question; 0 where nothing matches."""
     starts = best_nodes(kg.nodes, terms_of(question), 3, label_only=True).select("id")
-    lines = subgraph_lines(kg, bfs(kg, starts, depth))
+    nodes, edges = _lines(kg, bfs(kg, starts, depth, near))
     chars = F.coalesce(F.sum(F.length("line")) + F.count("*") - 1, F.lit(0))
-    return lines.agg(F.count("*").alias("n_lines"), chars.cast("long").alias("chars")).select("n_lines", F.when(F.col("n_lines") == 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.floor(F.col("chars") / 4))).cast("long").alias("tokens"))
+    lines = nodes.select("line").union(edges.select("line")).agg(F.count("*").alias("n_lines"), chars.cast("long").alias("chars"))
+    return lines.select("n_lines", F.when(F.col("n_lines") == 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.floor(F.col("chars") / 4))).cast("long").alias("tokens"))
 
 
 def token_reduction(kg: KG, questions: list[str], words: int | None = None, depth: int = 3) -> DataFrame:
     """One row: corpus tokens, mean tokens of the questions that match anything, and their ratio to 1 digit."""
-    per = query_tokens(kg, questions[0], depth)
-    for q in questions[1:]:
-        per = per.union(query_tokens(kg, q, depth))
-    some = per.where("tokens > 0").agg(F.count("*").alias("questions"), F.floor(F.avg("tokens")).cast("long").alias("avg_query_tokens"))
+    near = by_node(kg)
+    per = reduce(DataFrame.union, [query_tokens(kg, q, depth, near) for q in questions])
+    some = cut(per.where("tokens > 0").agg(F.count("*").alias("questions"), F.floor(F.avg("tokens")).cast("long").alias("avg_query_tokens")))
+    near.unpersist()
     corpus = kg.nodes.agg((F.lit(words) if words is not None else F.count("*") * 50).cast("long").alias("words")).select(F.floor(F.col("words") * 100 / 75).cast("long").alias("corpus_tokens"))
     return corpus.join(some, how="cross").select("questions", "corpus_tokens", "avg_query_tokens", F.bround(F.col("corpus_tokens") / F.col("avg_query_tokens"), 1).alias("reduction"))
 

@@ -153,7 +153,16 @@ def _(spark, sf):
     return rel(spark, sf, _SCHEMES, "pages").select("page_id", web.scheme_allowed(F.col("url")).alias("allowed"))
 
 
-@query("webpage_records")
+_YAML = "replace(replace(regexp_replace({x}, '[\\r\\n]+', ' ', 'g'), chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"')"
+_WHOLE_TITLE = f"CASE WHEN {_TITLE} = '' THEN url ELSE {_TITLE} END"
+
+
+@query(
+    "webpage_records",
+    f"""SELECT url, substring(regexp_replace(regexp_replace(url, '^https?://', ''), '[^\\p{{L}}\\p{{M}}\\p{{N}}_.-]+', '_', 'g'), 1, 80) || '.md' AS file_name,
+    '---' || chr(10) || 'source_url: "' || {_YAML.format(x="url")} || '"' || chr(10) || 'type: webpage' || chr(10) || 'title: "' || {_YAML.format(x="t")} || '"' || chr(10) || 'captured_at: 2024-01-01T00:00:00+00:00' || chr(10) || '---' || chr(10) || chr(10) || '# ' || t || chr(10) || chr(10) || {_TEXT} || chr(10) AS markdown
+    FROM (SELECT url, html, {_WHOLE_TITLE} AS t FROM pages)""",
+)
 def _(spark, sf):
     return web.webpage_records(table(spark, sf, "pages"), "2024-01-01T00:00:00+00:00")
 
@@ -214,10 +223,10 @@ _CACHED = "SELECT doc_id, text, sha256(text) AS h FROM documents"
 
 def _cache(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("sha256"))
-    return d.select("doc_id", "sha256"), d.where("doc_id % 2 = 0").groupBy("sha256").agg(F.min("lang").alias("lang"))
+    return d.select("doc_id", "sha256"), d.where("lang = 'en'").groupBy("sha256").agg(F.min("lang").alias("lang"))
 
 
-_HC = "c AS (SELECT sha256(text) AS sha256, min(lang) AS lang FROM documents WHERE doc_id % 2 = 0 GROUP BY 1), d AS (SELECT doc_id, sha256(text) AS sha256 FROM documents)"
+_HC = "c AS (SELECT sha256(text) AS sha256, min(lang) AS lang FROM documents WHERE lang = 'en' GROUP BY 1), d AS (SELECT doc_id, sha256(text) AS sha256 FROM documents)"
 
 
 @query("cache_lookup", f"WITH {_HC} SELECT sha256, doc_id, lang FROM d JOIN c USING (sha256)")
@@ -238,29 +247,30 @@ def _(spark, sf):
 
 @query(
     "incremental_diff",
-    """WITH a AS (SELECT o_custkey AS path, max(o_orderdate) AS t FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' AND o_custkey % 11 <> 0 GROUP BY 1), b AS (SELECT o_custkey AS path, max(o_orderdate) AS t FROM orders WHERE o_custkey % 7 <> 0 AND o_orderdate < TIMESTAMP '1997-06-01' GROUP BY 1)
+    """WITH o AS (SELECT concat(o_custkey, '/', o_orderpriority) AS path, o_orderdate AS d FROM orders), a AS (SELECT path, max(d) AS t FROM o WHERE d < TIMESTAMP '1996-01-01' GROUP BY 1), b AS (SELECT path, max(d) AS t FROM o WHERE d >= TIMESTAMP '1993-06-01' GROUP BY 1)
     SELECT path, CASE WHEN a.t IS NULL THEN 'new' WHEN b.t IS NULL THEN 'deleted' WHEN b.t > a.t THEN 'changed' ELSE 'unchanged' END AS status FROM a FULL JOIN b USING (path)""",
 )
 def _(spark, sf):
-    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("path"), F.col("o_orderdate").alias("t"))
-    old = o.where("t < timestamp_ntz'1996-01-01' and path % 11 <> 0").groupBy("path").agg(F.max("t").alias("mtime"))
-    return S.changed(o.where("t < timestamp_ntz'1997-06-01' and path % 7 <> 0").groupBy("path").agg(F.max("t").alias("mtime")), old)
+    """Files, and their state as of an earlier day; those without change since another day are gone."""
+    o = table(spark, sf, "orders").select(F.concat_ws("/", "o_custkey", "o_orderpriority").alias("path"), F.col("o_orderdate").alias("t"))
+    old = o.where("t < timestamp_ntz'1996-01-01'").groupBy("path").agg(F.max("t").alias("mtime"))
+    return S.changed(o.where("t >= timestamp_ntz'1993-06-01'").groupBy("path").agg(F.max("t").alias("mtime")), old)
 
 
-_XA, _XB = "SELECT concat('n', c_custkey) AS id, c_name AS label, CAST(c_custkey AS BIGINT) AS ord FROM customer WHERE c_custkey % 3 <> 0", "SELECT concat('n', c_custkey) AS id, upper(c_mktsegment) AS label, CAST(c_custkey AS BIGINT) AS ord FROM customer WHERE c_custkey % 2 = 0"
-_XE = "SELECT concat('n', o_custkey) AS source, concat('n', o_orderkey % 97) AS target, CAST(o_orderkey AS BIGINT) AS ord FROM orders WHERE o_orderkey % {k} = 0"
+_XA, _XB = "SELECT concat('n', c_custkey) AS id, c_name AS label, CAST(c_custkey AS BIGINT) AS ord FROM customer", "SELECT concat('n', s_suppkey * 20) AS id, upper(s_name) AS label, CAST(s_suppkey AS BIGINT) AS ord FROM supplier"
+_XE = "SELECT concat('n', o_custkey) AS source, concat('n', o_orderkey % {k}) AS target, CAST(o_orderkey AS BIGINT) AS ord FROM orders"
 
 
 @query("merge_extractions", f"WITH u AS (SELECT *, 0 AS r FROM ({_XA}) UNION ALL SELECT *, 1 FROM ({_XB})) SELECT id, label FROM u QUALIFY row_number() OVER (PARTITION BY id ORDER BY r, ord) = 1")
 def _(spark, sf):
-    e = rel(spark, sf, _XE.format(k=5), "orders")
-    return B.merge((rel(spark, sf, _XA, "customer"), e), (rel(spark, sf, _XB, "customer"), e))[0].select("id", "label")
+    e = rel(spark, sf, _XE.format(k=89), "orders")
+    return B.merge((rel(spark, sf, _XA, "customer"), e), (rel(spark, sf, _XB, "supplier"), e))[0].select("id", "label")
 
 
-@query("build_merge", f"WITH u AS (SELECT source, target FROM ({_XE.format(k=5)}) UNION ALL SELECT source, target FROM ({_XE.format(k=7)})) SELECT source, target, count(*) AS n FROM u GROUP BY ALL")
+@query("build_merge", f"WITH u AS (SELECT source, target FROM ({_XE.format(k=89)}) UNION ALL SELECT source, target FROM ({_XE.format(k=97)})) SELECT source, target, count(*) AS n FROM u GROUP BY ALL")
 def _(spark, sf):
     n = rel(spark, sf, _XA, "customer")
-    return B.merge((n, rel(spark, sf, _XE.format(k=5), "orders")), (n, rel(spark, sf, _XE.format(k=7), "orders")))[1].groupBy("source", "target").agg(F.count("*").alias("n"))
+    return B.merge((n, rel(spark, sf, _XE.format(k=89), "orders")), (n, rel(spark, sf, _XE.format(k=97), "orders")))[1].groupBy("source", "target").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -290,8 +300,8 @@ def _(spark, sf):
     return B.running_cost(rel(spark, sf, _COST, "orders"))
 
 
-_ENT = "SELECT concat('p', p_partkey) AS id, concat('f', p_partkey % 40) AS file, concat('f', p_partkey % 40) AS stem, CASE p_partkey % 11 WHEN 0 THEN concat('m', p_partkey, '.py') WHEN 1 THEN '_x' WHEN 2 THEN 'run()' ELSE replace(p_name, ' ', '') END AS label, CAST(p_partkey AS BIGINT) AS ord FROM part"
-_IMP = "SELECT DISTINCT concat('f', l_partkey % 40) AS file, concat('f', l_suppkey % 40) AS target_stem, replace(p_name, ' ', '') AS name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity = 50 AND l_discount > 0.08"
+_ENT = "SELECT concat('p', p_partkey) AS id, concat('f', CAST(floor(p_partkey / 5) AS BIGINT)) AS file, concat('f', CAST(floor(p_partkey / 5) AS BIGINT)) AS stem, CASE p_partkey % 11 WHEN 0 THEN concat('m', p_partkey, '.py') WHEN 1 THEN '_x' WHEN 2 THEN 'run()' ELSE replace(p_name, ' ', '') END AS label, CAST(p_partkey AS BIGINT) AS ord FROM part"
+_IMP = "SELECT DISTINCT concat('f', l_suppkey) AS file, concat('f', CAST(floor(l_partkey / 5) AS BIGINT)) AS target_stem, replace(p_name, ' ', '') AS name FROM lineitem JOIN part ON l_partkey = p_partkey"
 
 
 @query(
@@ -303,7 +313,7 @@ def _(spark, sf):
     return B.resolve_imports(rel(spark, sf, _IMP, "lineitem", "part"), rel(spark, sf, _ENT, "part"))
 
 
-_SITES = "SELECT concat('p', l_partkey) AS caller, CASE l_linenumber % 3 WHEN 0 THEN upper(concat('fn', l_suppkey)) ELSE concat('fn', l_suppkey) END AS callee, l_orderkey * 8 + l_linenumber AS ord FROM lineitem WHERE l_quantity < 5"
+_SITES = "SELECT concat('p', l_partkey) AS caller, CASE l_linenumber % 3 WHEN 0 THEN upper(concat('fn', l_suppkey)) ELSE concat('fn', l_suppkey) END AS callee, l_orderkey * 8 + l_linenumber AS ord FROM lineitem"
 _FUNCS = "SELECT concat('p', p_partkey) AS id, CASE p_partkey % 2 WHEN 0 THEN concat('.fn', p_partkey % 150, '()') ELSE concat('Fn', p_partkey % 150, '()') END AS label, CAST(p_partkey AS BIGINT) AS ord FROM part"
 
 
@@ -318,7 +328,7 @@ def _(spark, sf):
 
 # --- validation and building
 _BADN = "SELECT CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE concat('c', c_custkey) END AS id, CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE c_name END AS label, CASE WHEN c_custkey % 19 = 0 THEN 'movie' WHEN c_custkey % 23 = 0 THEN NULL ELSE 'code' END AS file_type, 'a.py' AS source_file, CAST(c_custkey AS BIGINT) AS ord FROM customer"
-_BADE = "SELECT CASE WHEN o_orderkey % 31 = 0 THEN NULL ELSE concat('c', o_custkey) END AS source, concat('c', o_orderkey % 2000) AS target, CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE 'calls' END AS relation, CASE o_orderstatus WHEN 'P' THEN 'MAYBE' ELSE 'EXTRACTED' END AS confidence, 'a.py' AS source_file, CAST(o_orderkey AS BIGINT) AS ord FROM orders WHERE o_orderkey % 10 = 0"
+_BADE = "SELECT CASE WHEN o_orderkey % 31 = 0 THEN NULL ELSE concat('c', o_custkey) END AS source, concat('c', o_orderkey % 2000) AS target, CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE 'calls' END AS relation, CASE o_orderstatus WHEN 'P' THEN 'MAYBE' ELSE 'EXTRACTED' END AS confidence, 'a.py' AS source_file, CAST(o_orderkey AS BIGINT) AS ord FROM orders"
 
 
 def _checks(keys, kind, item, enum, what, values):
@@ -352,9 +362,9 @@ def _(spark, sf):
 _KE = "u, v, src, tgt, relation, confidence, confidence_score, weight, source_file"
 
 
-@query("build_edges", duck(f"SELECT {_KE} FROM ke", V.FULL, facts=False))
+@query("build_edges", duck(f"SELECT {_KE} FROM ke", facts=False))
 def _(spark, sf):
-    return V.graph(spark, sf, V.FULL).edges.select(*_KE.split(", "))
+    return V.graph(spark, sf).edges.select(*_KE.split(", "))
 
 
 @query(
@@ -365,12 +375,12 @@ def _(spark, sf):
     return B.build_edges_lenient(rel(spark, sf, _BADE, "orders")).select("u", "v", "src", "relation", "confidence")
 
 
-_HYP = "SELECT CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE concat('h', o_orderkey % {k}) END AS id, o_orderpriority AS label, CAST(o_orderkey AS BIGINT) AS ord FROM orders WHERE o_orderkey % 2 = {p}"
+_HYP = "SELECT CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE concat('h', o_orderkey % {k}) END AS id, o_orderpriority AS label, CAST(o_orderkey AS BIGINT) AS ord FROM orders"
 
 
-@query("hyperedge_dedup", f"WITH u AS (SELECT *, 0 AS r FROM ({_HYP.format(k=300, p=0)}) UNION ALL SELECT *, 1 FROM ({_HYP.format(k=500, p=1)})) SELECT id, label FROM u WHERE id <> '' QUALIFY row_number() OVER (PARTITION BY id ORDER BY r, ord) = 1")
+@query("hyperedge_dedup", f"WITH u AS (SELECT *, 0 AS r FROM ({_HYP.format(k=300)}) UNION ALL SELECT *, 1 FROM ({_HYP.format(k=500)})) SELECT id, label FROM u WHERE id <> '' QUALIFY row_number() OVER (PARTITION BY id ORDER BY r, ord) = 1")
 def _(spark, sf):
-    return B.attach_hyperedges(rel(spark, sf, _HYP.format(k=300, p=0), "orders"), rel(spark, sf, _HYP.format(k=500, p=1), "orders")).select("id", "label")
+    return B.attach_hyperedges(rel(spark, sf, _HYP.format(k=300), "orders"), rel(spark, sf, _HYP.format(k=500), "orders")).select("id", "label")
 
 
 @query("confidence_score_default", duck("SELECT u, v, coalesce(confidence_score, CASE confidence WHEN 'INFERRED' THEN 0.5 WHEN 'AMBIGUOUS' THEN 0.2 ELSE 1.0 END) AS score FROM ke", facts=False))
@@ -384,14 +394,14 @@ def _(spark, sf):
 
 
 # --- analysis
-@query("node_degree", duck("SELECT id, degree FROM kd", V.FULL))
+@query("node_degree", duck("SELECT id, degree FROM kd"))
 def _(spark, sf):
-    return B.degrees(V.graph(spark, sf, V.FULL))
+    return B.degrees(V.graph(spark, sf))
 
 
 @query("file_node_flags", duck("SELECT id, is_file FROM nf"))
 def _(spark, sf):
-    return A.node_facts(V.graph(spark, sf)).select("id", "is_file")
+    return A.node_facts(V.built(spark, sf)).select("id", "is_file")
 
 
 @query("concept_node_flags", duck("SELECT id, is_concept FROM nf"))
@@ -402,9 +412,9 @@ def _(spark, sf):
 _GOD = "SELECT CAST(row_number() OVER (ORDER BY degree DESC, ord) AS INT) AS rank, id, label, degree FROM nf WHERE NOT is_file AND NOT is_concept QUALIFY rank <= {n}"
 
 
-@query("god_nodes", duck(_GOD.format(n=10), V.FULL))
+@query("god_nodes", duck(_GOD.format(n=10)))
 def god_nodes(spark, sf):
-    return A.god_nodes(V.graph(spark, sf, V.FULL))
+    return A.god_nodes(V.built(spark, sf))
 
 
 _UC, _VC = _CATS.format(p="u_source_file"), _CATS.format(p="v_source_file")
@@ -420,7 +430,7 @@ _REAL = "relation NOT IN ('imports','imports_from','contains','method') AND NOT
 
 @query("surprise_scores", duck("SELECT u, v, score, why FROM sx", more=_SC))
 def _(spark, sf):
-    return A.surprise_scores(V.graph(spark, sf))
+    return A.surprise_scores(V.built(spark, sf))
 
 
 _CF = f"cf AS (SELECT {_OR}, score, why, CAST(row_number() OVER (ORDER BY score DESC, u_ord, ord) AS INT) AS rank FROM sx WHERE {_REAL} AND NOT u_is_concept AND NOT v_is_concept)"
@@ -428,7 +438,7 @@ _CF = f"cf AS (SELECT {_OR}, score, why, CAST(row_number() OVER (ORDER BY score
 
 @query("cross_file_surprises", duck("SELECT * FROM cf WHERE rank <= 5", more=f"{_SC}, {_CF}"))
 def _(spark, sf):
-    return A.cross_file_surprises(V.graph(spark, sf))
+    return A.cross_file_surprises(V.built(spark, sf))
 
 
 _SURE = "CASE confidence WHEN 'AMBIGUOUS' THEN 0 WHEN 'INFERRED' THEN 1 ELSE 2 END"
@@ -438,12 +448,12 @@ co AS (SELECT {_OR}, 'joins community ' || u_community || ' to ' || v_community
 
 @query("cross_community_surprises", duck("SELECT * FROM co WHERE rank <= 5", more=_CC))
 def _(spark, sf):
-    return A.cross_community_surprises(V.graph(spark, sf))
+    return A.cross_community_surprises(V.built(spark, sf))
 
 
 @query("surprising_connections", duck("SELECT rank, source, target, confidence, relation, why AS reason FROM cf WHERE rank <= 5", more=f"{_SC}, {_CF}"))
 def _(spark, sf):
-    return A.surprising_connections(V.graph(spark, sf))
+    return A.surprising_connections(V.built(spark, sf))
 
 
 @query("surprising_connections_one_file", duck("SELECT rank, source, target, confidence, relation, note AS reason FROM co WHERE rank <= 5", more=_CC))
@@ -455,9 +465,9 @@ def _(spark, sf):
 _COH = "ch AS (SELECT k.community, count(*) AS n_nodes, CASE WHEN count(*) <= 1 THEN 1.0 ELSE round_even(coalesce(max(m), 0) / (count(*) * (count(*) - 1) / 2), 2) END AS cohesion FROM kn k LEFT JOIN (SELECT u_community AS community, count(*) AS m FROM ef WHERE u_community = v_community GROUP BY 1) i ON k.community = i.community GROUP BY 1)"
 
 
-@query("cohesion_scores", duck("SELECT community, n_nodes, CAST(cohesion AS DOUBLE) AS cohesion FROM ch", V.FULL, more=_COH))
+@query("cohesion_scores", duck("SELECT community, n_nodes, CAST(cohesion AS DOUBLE) AS cohesion FROM ch", more=_COH))
 def _(spark, sf):
-    return A.cohesion(V.graph(spark, sf, V.FULL))
+    return A.cohesion(V.graph(spark, sf))
 
 
 @query("community_rank", f"WITH {V.KN}, s AS (SELECT community, count(*) AS size, min(ord) AS f FROM kn GROUP BY 1) SELECT community, size, CAST(row_number() OVER (ORDER BY size DESC, f) - 1 AS INT) AS cid FROM s")
@@ -467,15 +477,15 @@ def _(spark, sf):
 
 @query("community_reach", duck("SELECT k.id, count(DISTINCT CASE WHEN d.community <> k.community THEN d.community END) AS reach FROM kn k LEFT JOIN adj ON k.id = src LEFT JOIN kn d ON dst = d.id GROUP BY 1", facts=False, more=V.KADJ))
 def _(spark, sf):
-    return A.community_reach(V.graph(spark, sf))
+    return A.community_reach(V.built(spark, sf))
 
 
 _PCT = "CAST(round_even(100.0 * count(*) FILTER (confidence = '{c}') / greatest(count(*), 1), 0) AS BIGINT)"
 
 
-@query("graph_stats", duck(f"SELECT (SELECT count(*) FROM kn) AS nodes, (SELECT count(DISTINCT community) FROM kn) AS communities, count(*) AS edges, {_PCT.format(c='EXTRACTED')} AS extracted_pct, {_PCT.format(c='INFERRED')} AS inferred_pct, {_PCT.format(c='AMBIGUOUS')} AS ambiguous_pct FROM ke", V.FULL, facts=False))
+@query("graph_stats", duck(f"SELECT (SELECT count(*) FROM kn) AS nodes, (SELECT count(DISTINCT community) FROM kn) AS communities, count(*) AS edges, {_PCT.format(c='EXTRACTED')} AS extracted_pct, {_PCT.format(c='INFERRED')} AS inferred_pct, {_PCT.format(c='AMBIGUOUS')} AS ambiguous_pct FROM ke", facts=False))
 def _(spark, sf):
-    return A.graph_stats(V.graph(spark, sf, V.FULL))
+    return A.graph_stats(V.built(spark, sf))
 
 
 @query("avg_inferred_confidence", duck("SELECT round_even(avg(coalesce(confidence_score, 0.5)), 2) AS avg_inferred, count(*) AS n_inferred FROM ke WHERE confidence = 'INFERRED'", facts=False))
@@ -485,12 +495,12 @@ def _(spark, sf):
 
 @query("ambiguous_edges", duck(f"SELECT source, target, relation, source_file, target_file FROM (SELECT {_OR} FROM ef WHERE confidence = 'AMBIGUOUS')"))
 def _(spark, sf):
-    return A.ambiguous_edges(V.graph(spark, sf))
+    return A.ambiguous_edges(V.built(spark, sf))
 
 
 @query("isolated_nodes", duck("SELECT id, label, degree FROM nf WHERE degree <= 1 AND NOT is_file AND NOT is_concept"))
 def _(spark, sf):
-    return A.isolated_nodes(V.graph(spark, sf)).select("id", "label", "degree")
+    return A.isolated_nodes(V.built(spark, sf)).select("id", "label", "degree")
 
 
 _THIN = "SELECT concat('c', c_custkey) AS id, c_name AS label, CAST(c_custkey % 701 AS INT) AS community, CAST(c_custkey AS BIGINT) AS ord FROM customer"
@@ -503,12 +513,12 @@ def _(spark, sf):
 
 @query("community_summary", duck("SELECT community, count(*) AS n_real, string_agg(label, ', ' ORDER BY ord) FILTER (k <= 8) AS shown, CAST(greatest(count(*) - 8, 0) AS BIGINT) AS more FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY ord) AS k FROM nf WHERE NOT is_file) GROUP BY 1"))
 def _(spark, sf):
-    return A.community_summary(V.graph(spark, sf))
+    return A.community_summary(V.built(spark, sf))
 
 
 @query("q_ambiguous", duck("SELECT 'ambiguous_edge' AS type, 'What exactly relates `' || u_label || '` and `' || v_label || '`?' AS question, 'The edge is AMBIGUOUS (relation: ' || relation || ').' AS why FROM ef WHERE confidence = 'AMBIGUOUS'"))
 def _(spark, sf):
-    return A.q_ambiguous(V.graph(spark, sf)).select("type", "question", "why")
+    return A.q_ambiguous(V.built(spark, sf)).select("type", "question", "why")
 
 
 @query(
@@ -520,17 +530,17 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return A.q_verify_inferred(V.graph(spark, sf))
+    return A.q_verify_inferred(V.built(spark, sf))
 
 
 @query("q_isolated", duck("SELECT 'isolated_nodes' AS type, 'What connects ' || array_to_string(list('`' || label || '`' ORDER BY ord)[:3], ', ') || ' to the rest?' AS question, count(*) || ' nodes have one edge or none.' AS why FROM nf WHERE degree <= 1 AND NOT is_file AND NOT is_concept HAVING count(*) > 0"))
 def _(spark, sf):
-    return A.q_isolated(V.graph(spark, sf))
+    return A.q_isolated(V.built(spark, sf))
 
 
-@query("q_low_cohesion", duck("SELECT 'low_cohesion' AS type, 'Should community ' || community || ' be split?' AS question, 'Its cohesion is ' || printf('%.2f', cohesion) AS why, community FROM ch WHERE cohesion < 0.15 AND n_nodes >= 5", V.FULL, more=_COH))
+@query("q_low_cohesion", duck("SELECT 'low_cohesion' AS type, 'Should community ' || community || ' be split?' AS question, 'Its cohesion is ' || printf('%.2f', cohesion) AS why, community FROM ch WHERE cohesion < 0.15 AND n_nodes >= 5", more=_COH))
 def _(spark, sf):
-    return A.q_low_cohesion(V.graph(spark, sf, V.FULL))
+    return A.q_low_cohesion(V.graph(spark, sf))
 
 
 def _built_key(where: str, p: str) -> str:
@@ -545,7 +555,7 @@ def _two(spark, sf):
     for w in (V.OLD, V.NEW):
         e = V.raw_edges(spark, sf, w)
         ends = e.select(F.explode(F.array("source", "target")).alias("id")).distinct()
-        out.append(B.build_graph(V.raw_nodes(spark, sf).join(ends, "id", "left_semi"), e))
+        out.append(B.keep(B.build_graph(V.raw_nodes(spark, sf).join(ends, "id", "left_semi"), e)))
     return out
 
 
@@ -583,23 +593,23 @@ def _start(spark, node="s1"):
 
 @query("bfs_nodes", duck("SELECT id, CAST(dist AS INT) AS dist FROM bd", facts=False, more=_BFS.format(d=6)))
 def _(spark, sf):
-    return traverse.bfs(V.graph(spark, sf), _start(spark), 6)
+    return traverse.bfs(V.built(spark, sf), _start(spark), 6)
 
 
 @query("bfs_edges", duck("SELECT src, dst, CAST(b.dist AS INT) AS dist FROM ad JOIN bd a ON a.id = src JOIN bd b ON b.id = dst WHERE b.dist = a.dist + 1 AND a.dist < 4", facts=False, more=_BFS.format(d=4)))
 def _(spark, sf):
-    kg = V.graph(spark, sf)
+    kg = V.built(spark, sf)
     return traverse.bfs_edges(kg, traverse.bfs(kg, _start(spark), 4), 4)
 
 
 @query("dfs_nodes")
 def _(spark, sf):
-    return traverse.dfs(V.graph(spark, sf, V.FULL), _start(spark), 4)
+    return traverse.dfs(V.built(spark, sf), _start(spark), 4)
 
 
 @query("shortest_path_hops", duck("SELECT id, CAST(dist AS INT) AS hops FROM bd", facts=False, more=_BFS.format(d=8)))
 def _(spark, sf):
-    return traverse.shortest_paths(V.graph(spark, sf), "s1", 8).select("id", "hops")
+    return traverse.shortest_paths(V.built(spark, sf), "s1", 8).select("id", "hops")
 
 
 _LBL = _CLEAN.format(x="label")
@@ -614,7 +624,7 @@ _LBL = _CLEAN.format(x="label")
     ),
 )
 def _(spark, sf):
-    kg = V.graph(spark, sf)
+    kg = V.built(spark, sf)
     return traverse.subgraph_lines(kg, traverse.bfs(kg, _start(spark), 2)).select("line")
 
 
@@ -630,7 +640,7 @@ def _bfs_of(question: str, depth: int, tag: str = "") -> str:
 
 @query("query_tokens", duck(f"SELECT count(*) AS n_lines, CASE WHEN count(*) = 0 THEN 0 ELSE CAST(greatest(1, (sum(n) + count(*) - 1) // 4) AS BIGINT) END AS tokens FROM {_CHARS}", more=_bfs_of(_QUESTION, 3)))
 def _(spark, sf):
-    return traverse.query_tokens(V.graph(spark, sf), _QUESTION, 3)
+    return traverse.query_tokens(V.built(spark, sf), _QUESTION, 3)
 
 
 _QS = [_QUESTION, "customer#000000007 and mod10.py", "zzz nothing"]
@@ -645,7 +655,7 @@ _PER = " UNION ALL ".join(f"SELECT CASE WHEN count(*) = 0 THEN 0 ELSE greatest(1
     ),
 )
 def _(spark, sf):
-    return traverse.token_reduction(V.graph(spark, sf), _QS, depth=2)
+    return traverse.token_reduction(V.built(spark, sf), _QS, depth=2)
 
 
 _ONE = "f AS (SELECT id FROM kn WHERE contains(lower(label), 'supplier#00000000') OR lower(id) = 'supplier#00000000' ORDER BY ord LIMIT 1)"
@@ -653,7 +663,7 @@ _ONE = "f AS (SELECT id FROM kn WHERE contains(lower(label), 'supplier#00000000'
 
 @query("get_node", duck("SELECT id, label, source_file, file_type, community, degree FROM nf JOIN f USING (id)", more=_ONE))
 def _(spark, sf):
-    return traverse.get_node(V.graph(spark, sf), "Supplier#00000000")
+    return traverse.get_node(V.built(spark, sf), "Supplier#00000000")
 
 
 @query("get_neighbors", duck("SELECT src AS id, dst AS neighbour, k.label, relation, confidence FROM adj JOIN f ON src = f.id JOIN kn k ON k.id = dst WHERE contains(lower(relation), 'al')", facts=False, more=f"{V.KADJ}, {_ONE}"))
@@ -671,39 +681,34 @@ def _(spark, sf):
     return traverse.explain_node(V.graph(spark, sf), "Supplier#000000001")
 
 
-_SMALLK = f"WITH RECURSIVE kall AS ({V.NODES_SQL}), {V.duck_built(V.SMALL)}, kn AS (SELECT * FROM kall WHERE id IN (SELECT u FROM ke UNION SELECT v FROM ke)), ad AS (SELECT u AS src, v AS dst FROM ke UNION ALL SELECT v, u FROM ke)"
-_PATHS = """w AS (SELECT id AS s, id AS t, 0 AS d FROM kn UNION SELECT s, dst, d + 1 FROM w JOIN ad ON t = src WHERE d < 24), ds AS (SELECT s, t, min(d) AS d FROM w GROUP BY 1, 2),
-np AS (SELECT s, t, 0 AS d, CAST(1 AS DOUBLE) AS n FROM ds WHERE d = 0 UNION ALL SELECT np.s, ad.dst, np.d + 1, sum(n) FROM np JOIN ad ON np.t = ad.src JOIN ds ON ds.s = np.s AND ds.t = ad.dst AND ds.d = np.d + 1 GROUP BY 1, 2, 3)"""
-
-
-@query("node_betweenness", f"{_SMALLK}, {_PATHS}, nn AS (SELECT count(*) AS c FROM kn), b AS (SELECT a.t AS id, sum(a.n * z.n / e.n) AS x FROM np a JOIN np z ON a.t = z.s JOIN np e ON e.s = a.s AND e.t = z.t AND e.d = a.d + z.d WHERE a.d > 0 AND z.d > 0 GROUP BY 1) SELECT id, round(coalesce(x, 0) / ((c - 1) * (c - 2)), 6) AS betweenness FROM kn LEFT JOIN b USING (id), nn")
+@query("node_betweenness")
 def _(spark, sf):
-    return traverse.betweenness(V.small_graph(spark, sf))[0].select("id", F.round("betweenness", 6).alias("betweenness"))
+    return traverse.betweenness(V.built(spark, sf))[0].select("id", F.round("betweenness", 6).alias("betweenness"))
 
 
-@query("edge_betweenness", f"{_SMALLK}, {_PATHS}, nn AS (SELECT count(*) AS c FROM kn), b AS (SELECT least(ad.src, ad.dst) AS p, greatest(ad.src, ad.dst) AS q, sum(a.n * z.n / e.n) AS x FROM ad JOIN np a ON a.t = ad.src JOIN np z ON z.s = ad.dst JOIN np e ON e.s = a.s AND e.t = z.t AND e.d = a.d + z.d + 1 GROUP BY 1, 2) SELECT p AS a, q AS b, round(x / (c * (c - 1)), 6) AS betweenness FROM b, nn")
+@query("edge_betweenness")
 def _(spark, sf):
-    return traverse.betweenness(V.small_graph(spark, sf))[1].select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), F.round("betweenness", 6).alias("betweenness"))
+    return traverse.betweenness(V.built(spark, sf))[1].select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), F.round("betweenness", 6).alias("betweenness"))
 
 
 @query("q_bridges")
 def _(spark, sf):
-    kg = V.graph(spark, sf, V.FULL)
+    kg = V.built(spark, sf)
     return A.q_bridges(kg, traverse.betweenness(kg)[0])
 
 
 @query("suggest_questions")
 def _(spark, sf):
-    kg = V.graph(spark, sf, V.FULL)
+    kg = V.built(spark, sf)
     return A.suggest_questions(kg, traverse.betweenness(kg)[0])
 
 
 # --- communities
-@query("connected_components", duck("SELECT k.id, coalesce(min(t), k.id) AS component FROM kn k LEFT JOIN w ON w.s = k.id GROUP BY k.id", V.FRAG, facts=False, more="ad AS (SELECT u AS src, v AS dst FROM ke UNION ALL SELECT v, u FROM ke), w AS (SELECT DISTINCT src AS s, src AS t FROM ad UNION SELECT s, dst FROM w JOIN ad ON t = src)"))
+@query("connected_components", duck("SELECT id, component FROM cc", facts=False, more="ad AS (SELECT u AS src, v AS dst FROM ke UNION ALL SELECT v, u FROM ke), cc(id, component) USING KEY (id) AS (SELECT id, id FROM kn UNION SELECT ad.src, min(f.component) FROM cc f JOIN ad ON ad.dst = f.id JOIN recurring.cc t ON t.id = ad.src WHERE f.component < t.component GROUP BY ad.src)"))
 def _(spark, sf):
     from ..operators.community import connected_components
 
-    kg = V.graph(spark, sf, V.FRAG)
+    kg = V.built(spark, sf)
     return connected_components(kg.nodes.select("id"), kg.edges)
 
 
@@ -711,21 +716,21 @@ def _(spark, sf):
 def _(spark, sf):
     from ..operators.community import cluster
 
-    return cluster(V.graph(spark, sf, V.FULL))
+    return cluster(V.built(spark, sf))
 
 
 @query("cluster_covers_all_nodes", f"WITH {V.KN} SELECT id, CAST(1 AS BIGINT) AS n_communities FROM kn")
 def _(spark, sf):
     from ..operators.community import cluster
 
-    return cluster(V.graph(spark, sf, V.FRAG)).groupBy("id").agg(F.count("*").alias("n_communities"))
+    return cluster(V.built(spark, sf)).groupBy("id").agg(F.count("*").alias("n_communities"))
 
 
 @query("modularity", duck("SELECT round(sum(coalesce(i, 0) / m - pow(vol / (2 * m), 2)), 6) AS modularity FROM (SELECT c, sum(w) AS vol FROM (SELECT u_community AS c, weight AS w FROM ef UNION ALL SELECT v_community, weight FROM ef) GROUP BY 1) LEFT JOIN (SELECT u_community AS c, sum(weight) AS i FROM ef WHERE u_community = v_community GROUP BY 1) USING (c), (SELECT sum(weight) AS m FROM ke)"))
 def _(spark, sf):
     from ..operators.community import modularity
 
-    return modularity(V.graph(spark, sf))
+    return modularity(V.built(spark, sf))
 
 
 # --- exports
@@ -741,7 +746,7 @@ def _(spark, sf):
 
 @query("viz_node_attrs", duck(f"SELECT id, {_LBL} AS label, round_even(10 + 30 * degree / m, 1) AS size, CASE WHEN degree >= m * 0.15 THEN 12 ELSE 0 END AS font_size, list_extract([{quoted(X.COLORS)}], CAST(community % 10 + 1 AS INT)) AS color, degree, community FROM nf, (SELECT greatest(max(degree), 1) AS m FROM kd)"))
 def _(spark, sf):
-    return X.viz_nodes(V.graph(spark, sf))
+    return X.viz_nodes(V.built(spark, sf))
 
 
 _NAMES = "SELECT concat('p', p_partkey) AS id, CASE WHEN p_partkey % 50 = 0 THEN '?*' ELSE concat(p_name, '/') END AS label, CAST(p_partkey AS BIGINT) AS ord FROM part"
@@ -763,12 +768,12 @@ _ICE = "ic AS (SELECT community, other, count(*) AS n_edges FROM (SELECT u_commu
 
 @query("inter_community_edges", duck("SELECT * FROM ic", more=_ICE))
 def _(spark, sf):
-    return X.inter_community_edges(V.graph(spark, sf))
+    return X.inter_community_edges(V.built(spark, sf))
 
 
 @query("bridge_nodes", duck("SELECT community, CAST(row_number() OVER (PARTITION BY community ORDER BY reach DESC, degree DESC, ord) AS INT) AS rank, id, reach, degree FROM r WHERE reach > 0 QUALIFY rank <= 5", more=f"{V.KADJ}, r AS (SELECT k.id, any_value(k.community) AS community, any_value(k.ord) AS ord, any_value(k.degree) AS degree, count(DISTINCT CASE WHEN d.community <> k.community THEN d.community END) AS reach FROM nf k JOIN adj ON k.id = src JOIN kn d ON dst = d.id GROUP BY 1)"))
 def _(spark, sf):
-    return X.bridge_nodes(V.graph(spark, sf))
+    return X.bridge_nodes(V.built(spark, sf))
 
 
 @query(
@@ -783,17 +788,17 @@ def _(spark, sf):
 
 @query("canvas_top_edges", duck("SELECT CAST(row_number() OVER (ORDER BY weight DESC, u_ord, ord) AS INT) AS rank, u, v, relation || ' [' || confidence || ']' AS label, weight FROM ef QUALIFY rank <= 200"))
 def _(spark, sf):
-    return X.canvas_top_edges(V.graph(spark, sf))
+    return X.canvas_top_edges(V.built(spark, sf))
 
 
 @query("wiki_cross_links", duck("SELECT community, CAST(row_number() OVER (PARTITION BY community ORDER BY n_edges DESC, other) AS INT) AS rank, other, n_edges AS n_links FROM ic QUALIFY rank <= 12", more=_ICE))
 def _(spark, sf):
-    return X.wiki_cross_links(V.graph(spark, sf))
+    return X.wiki_cross_links(V.built(spark, sf))
 
 
 @query("wiki_top_nodes", duck("SELECT community, CAST(row_number() OVER (PARTITION BY community ORDER BY degree DESC, ord) AS INT) AS rank, id, label, degree FROM nf QUALIFY rank <= 25"))
 def _(spark, sf):
-    return X.wiki_top_nodes(V.graph(spark, sf))
+    return X.wiki_top_nodes(V.built(spark, sf))
 
 
 @query("wiki_audit", duck("SELECT community, confidence, count(*) AS n, CAST(round_even(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY community), 0) AS BIGINT) AS pct FROM adj JOIN kn ON src = kn.id GROUP BY 1, 2", facts=False, more=V.KADJ))
@@ -803,24 +808,40 @@ def _(spark, sf):
 
 @query("note_rows")
 def _(spark, sf):
-    kg = V.graph(spark, sf, V.FULL)
+    kg = V.built(spark, sf)
     return X.note_rows(kg).union(X.community_notes(kg))
 
 
 @query("wiki_rows")
 def _(spark, sf):
-    return X.wiki_rows(V.graph(spark, sf, V.FULL))
+    return X.wiki_rows(V.built(spark, sf))
+
 
+_J = "'\"{k}\":' || coalesce(to_json({c})::VARCHAR, 'null')"
+_NUM = "'\"{k}\":' || coalesce(CAST({c} AS VARCHAR), 'null')"
 
-@query("node_links")
+
+def _object(*fields: tuple[str, str, bool]) -> str:
+    return "'{' || " + " || ',' || ".join((_NUM if number else _J).format(k=k, c=c) for k, c, number in fields) + " || '}'"
+
+
+_NODE_JSON = _object(("id", "id", False), ("label", "label", False), ("file_type", "file_type", False), ("source_file", "source_file", False), ("community", "community", True))
+_SCORED = "coalesce(confidence_score, CASE confidence WHEN 'INFERRED' THEN 0.5 WHEN 'AMBIGUOUS' THEN 0.2 ELSE 1.0 END)"
+_LINK_JSON = _object(("source", "u", False), ("target", "v", False), ("_src", "src", False), ("_tgt", "tgt", False), ("relation", "relation", False), ("confidence", "confidence", False), ("confidence_score", f"CAST({_SCORED} AS DOUBLE)", True), ("weight", "weight", True), ("source_file", "source_file", False))
+
+
+@query("node_links", duck(f"SELECT 'nodes' AS part, {_NODE_JSON} AS json FROM kn UNION ALL SELECT 'links', {_LINK_JSON} FROM ke", facts=False))
 def _(spark, sf):
-    kg = V.graph(spark, sf, V.FULL)
+    kg = V.graph(spark, sf)
     return X.node_json(kg).select(F.lit("nodes").alias("part"), "json").union(X.link_json(kg).select(F.lit("links"), "json"))
 
 
-@query("graphml_rows")
+_XML = lambda x: _CLEAN.format(x=x).replace("1, 256)", "1, 100000)")
+
+
+@query("graphml_rows", duck(f"SELECT '<node id=\"' || {_XML('id')} || '\"><data key=\"label\">' || {_XML('label')} || '</data><data key=\"community\">' || coalesce(community, -1) || '</data></node>' AS line FROM kn UNION ALL SELECT '<edge source=\"' || {_XML('u')} || '\" target=\"' || {_XML('v')} || '\"><data key=\"relation\">' || {_XML('relation')} || '</data></edge>' FROM ke", facts=False))
 def _(spark, sf):
-    return X.graphml_rows(V.graph(spark, sf, V.FULL)).select("line")
+    return X.graphml_rows(V.graph(spark, sf)).select("line")
 
 
 # --- events

@@ -9,10 +9,17 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, written to the checkpoint folder of the session (a temporary one only where none is set), without its lineage."""
+    """df, written to the checkpoint folder of the session, without its lineage.
+
+    A temporary folder is used only where none is set and the session runs on one machine; on a cluster that is an error.
+    """
     spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kgloom-"))
+    jsc = spark.sparkContext._jsc.sc()
+    if jsc.getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not named and not jsc.isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="kgloom-"))
     return df.checkpoint(eager=True)
 
 
