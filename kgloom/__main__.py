@@ -1,4 +1,4 @@
-"""python -m kgloom build FOLDER | query|path|explain|stats GRAPH.json ... | benchmark GRAPH.json"""
+"""python -m kgloom build FOLDER | watch FOLDER | query|path|explain|stats GRAPH.json ... | benchmark GRAPH.json"""
 
 from __future__ import annotations
 
@@ -22,6 +22,9 @@ def main(args: list[str]) -> int:
     if what == "build":
         pipeline.run(spark, where, f"{where}/kgloom-out")
         return 0
+    if what == "watch":
+        pipeline.watch_folder(spark, where, f"{where}/kgloom-out").awaitTermination()
+        return 0
     kg = graphjson.load(spark, where)
     if what == "query":
         print(traverse.query_graph(kg, " ".join(rest)))

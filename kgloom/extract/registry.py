@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.build import resolve_imports
+from ..runtime import remove
 from .python_ast import extract_python, imported_names
 from .scanners import SCANNERS
 
@@ -54,6 +55,16 @@ def with_cache(files: DataFrame, cache: DataFrame, by_path: bool = False) -> tup
     return old.unionByName(new), new
 
 
+def cached_files(cache: DataFrame) -> DataFrame:
+    """(sha256) of the contents that the cache holds rows of."""
+    return cache.select("sha256").distinct()
+
+
+def clear_cache(spark: SparkSession, path: str) -> None:
+    """Drops the cache table at `path`, if there is one."""
+    remove(spark, path)
+
+
 def nodes_of(parsed: DataFrame) -> DataFrame:
     n = parsed.select("path", F.posexplode("nodes").alias("k", "n"))
     return n.select("n.*", F.struct("path", F.col("k").cast("long").alias("k")).alias("ord"))

@@ -251,10 +251,10 @@ def q_low_cohesion(kg: KG) -> DataFrame:
     return c.select(F.lit("low_cohesion").alias("type"), F.concat(F.lit("Should community "), F.col("community"), F.lit(" be split?")).alias("question"), F.concat(F.lit("Its cohesion is "), F.format_string("%.2f", "cohesion")).alias("why"), "community")
 
 
-def suggest_questions(kg: KG, betweenness: DataFrame, n: int = 7) -> DataFrame:
-    """(rank, type, question, why): ambiguous edges, bridges, inferred relations, isolated nodes, loose communities, n in all."""
+def suggest_questions(kg: KG, betweenness: DataFrame | None, n: int = 7) -> DataFrame:
+    """(rank, type, question, why): ambiguous edges, bridges (where betweenness is given), inferred relations, isolated nodes, loose communities, n in all."""
     key = lambda df, s, *o: top(df, list(o), n).select(F.lit(s).alias("section"), "rank", "type", "question", "why")
-    parts = [key(q_ambiguous(kg), 1, F.asc("u_ord"), F.asc("ord")), key(q_bridges(kg, betweenness), 2, F.asc("rank")), key(q_verify_inferred(kg), 3, F.asc("rank")), key(q_isolated(kg), 4, F.asc("question")), key(q_low_cohesion(kg), 5, F.asc("community"))]
+    parts = [key(q_ambiguous(kg), 1, F.asc("u_ord"), F.asc("ord")), *([] if betweenness is None else [key(q_bridges(kg, betweenness), 2, F.asc("rank"))]), key(q_verify_inferred(kg), 3, F.asc("rank")), key(q_isolated(kg), 4, F.asc("question")), key(q_low_cohesion(kg), 5, F.asc("community"))]
     found = reduce(DataFrame.unionByName, parts)
     out = top(found.withColumnRenamed("rank", "r"), [F.asc("section"), F.asc("r")], n).select("rank", "type", "question", "why")
     if out.isEmpty():

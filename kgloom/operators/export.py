@@ -335,7 +335,7 @@ def to_wiki(kg: KG, folder: str) -> int:
 
 
 # --- report
-def report(kg: KG, betweenness: DataFrame, corpus: str = "", date: str = "", tokens: tuple[int, int] = (0, 0)) -> str:
+def report(kg: KG, betweenness: DataFrame | None, corpus: str = "", date: str = "", tokens: tuple[int, int] = (0, 0)) -> str:
     """The graph report as markdown; every section is a bounded query."""
     s = A.graph_stats(kg).first()
     avg = A.inferred_confidence(kg).first()
@@ -344,16 +344,20 @@ def report(kg: KG, betweenness: DataFrame, corpus: str = "", date: str = "", tok
     out += ["", "## Surprising connections"] + [f"- `{r['source']}` --{r['relation']}--> `{r['target']}` [{r['confidence']}] {r['reason']}" for r in A.surprising_connections(kg).orderBy("rank").collect()]
     if kg.hyperedges is not None and (hyper := kg.hyperedges.orderBy("id").limit(50).collect()):
         out += ["", "## Hyperedges"] + [f"- **{r['label']}**: {', '.join(r['nodes'])} [{r['confidence']} {r['confidence_score'] or 0:.2f}]" for r in hyper]
+        out += [f"- {m - 50} more"] if (m := kg.hyperedges.count()) > 50 else []
     coh = {r["community"]: r["cohesion"] for r in A.cohesion(kg).orderBy(F.desc("n_nodes")).limit(200).collect()}
     out += ["", "## Communities"]
     for r in A.community_summary(kg).orderBy("community").limit(200).collect():
         out += [f"### Community {r['community']}", f"Cohesion {coh.get(r['community'])}", f"Nodes ({r['n_real']}): {r['shown']}" + (f" (+{r['more']} more)" if r["more"] else ""), ""]
+    out += [f"{s['communities'] - 200} more communities are in the graph file.", ""] if s["communities"] > 200 else []
     if amb := A.ambiguous_edges(kg).orderBy("source", "target").limit(50).collect():
-        out += ["## Ambiguous edges"] + [f"- `{r['source']}` - `{r['target']}` ({r['relation']})" for r in amb] + [""]
+        out += ["## Ambiguous edges"] + [f"- `{r['source']}` - `{r['target']}` ({r['relation']})" for r in amb] + ([f"- {m - 50} more"] if (m := A.ambiguous_edges(kg).count()) > 50 else []) + [""]
     lone, thin = A.isolated_nodes(kg), A.thin_communities(kg)
     n, t = lone.count(), thin.count()
     if n or t or s["ambiguous_pct"] > 20:
         names = [f"`{r['label']}`" for r in A.top(lone, [F.asc("ord")], 5).orderBy("rank").collect()]
         out += ["## Knowledge gaps"] + ([f"- {n} weakly connected nodes: {', '.join(names)}" + (f" (+{n - 5} more)" if n > 5 else "")] if n else []) + ([f"- {t} thin communities (under 3 nodes)"] if t else []) + ([f"- {s['ambiguous_pct']}% of edges are ambiguous"] if s["ambiguous_pct"] > 20 else []) + [""]
+    if betweenness is None:
+        out += ["Bridges between communities were not looked for: the graph is too large for exact betweenness.", ""]
     out += ["## Suggested questions"] + [f"- **{r['question']}** {r['why']}" if r["question"] else r["why"] for r in A.suggest_questions(kg, betweenness).orderBy("rank").collect()]
     return "\n".join(out) + "\n"

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..runtime import number
+
+
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, line) of a text file, numbered from 0 in file order."""
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("_at"), F.col("_metadata.file_block_start").alias("_block"))
+    return number(lines, [F.asc("_block"), F.asc("_at")], "line_no").select(F.col("line_no"), "line")
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:

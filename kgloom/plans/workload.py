@@ -676,9 +676,9 @@ def _(spark, sf):
     return traverse.get_community(A.KG(V.raw_nodes(spark, sf), None), 7)
 
 
-@query("explain_node", duck("SELECT src AS id, dst AS neighbour, k.label, k.source_file, relation, confidence FROM adj JOIN f ON src = f.id JOIN kn k ON k.id = dst", facts=False, more=f"{V.KADJ}, f AS (SELECT id FROM kn WHERE contains(lower(label), 'supplier#000000001') OR contains(lower(source_file), 'supplier#000000001') ORDER BY CASE WHEN contains(lower(label), 'supplier#000000001') THEN 1 ELSE 0 END DESC, id DESC LIMIT 1)"))
+@query("explain_node", duck("SELECT src AS id, dst AS neighbour, k.label, k.source_file, relation, confidence FROM adj JOIN f ON src = f.id JOIN kn k ON k.id = dst", facts=False, more=f"{V.KADJ}, f AS (SELECT id FROM kn WHERE contains(lower(label), 'supplier#000000003') OR contains(lower(source_file), 'supplier#000000003') ORDER BY CASE WHEN contains(lower(label), 'supplier#000000003') THEN 1 ELSE 0 END DESC, id DESC LIMIT 1)"))
 def _(spark, sf):
-    return traverse.explain_node(V.graph(spark, sf), "Supplier#000000001")
+    return traverse.explain_node(V.graph(spark, sf), "Supplier#000000003")
 
 
 @query("node_betweenness")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,6 +23,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _at(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _at(spark, path)
+    return fs.exists(p)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _at(spark, path)
+    fs.delete(p, True)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system's scheme and host, absolute."""
+    fs, p = _at(spark, path)
+    return fs.makeQualified(p).toString()
+
+
 def number(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """df with its rows numbered from 0 in a total order, without bringing them together: sorted by ranges, counted by part."""
     s = cut(df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()))

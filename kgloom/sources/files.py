@@ -2,26 +2,133 @@
 
 from __future__ import annotations
 
-from pathlib import Path
+import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..runtime import cut, exists, qualified
 
 NEEDS_GRAPH, TOO_MANY_WORDS, TOO_MANY_FILES = 50_000, 500_000, 200
 
 
+STEP = 512  # folders that a task lists before the rest is spread anew
+PIECE = 32 << 20  # bytes of content held at once, about
+
+
+def store(uri: str):
+    """(file system, path in it) of a qualified URI, for Python workers."""
+    from pyarrow import fs
+
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    host, _, path = rest.removeprefix("//").partition("/")
+    system, base = fs.FileSystem.from_uri(f"{scheme}://{host}/")
+    return system, f"{base.rstrip('/')}/{path}" if base.strip("/") else f"/{path}"
+
+
+def _pruned(rel: str, name: str) -> bool:
+    """Whether a folder is not entered: noise and hidden ones, and of our own output all but its memory."""
+    here = f"{rel}/{name}" if rel else name
+    if here == "kgloom-out" or here.startswith("kgloom-out/"):
+        return here != "kgloom-out" and here != "kgloom-out/memory" and not here.startswith("kgloom-out/memory/")
+    return name.startswith(".") or name in T.SKIPPED_DIRS or re.search(T.NOISE_SUFFIX, name) is not None
+
+
+_LISTED = "path string, mtime timestamp, length long, folder boolean"
+
+
+def _walk(uri: str):
+    def run(batches):
+        import os
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        schema = pa.schema([("path", pa.string()), ("mtime", pa.timestamp("us", tz="UTC")), ("length", pa.int64()), ("folder", pa.bool_())])
+        system, base = store(uri)
+        local = isinstance(system, fs.LocalFileSystem)
+        for batch in batches:
+            todo, found, listed = [r for r in batch.column(0).to_pylist()], [], 0
+            while todo and listed < STEP:
+                rel, listed = todo.pop(), listed + 1
+                try:
+                    entries = system.get_file_info(fs.FileSelector(f"{base}/{rel}" if rel else base, allow_not_found=True))
+                except OSError:  # a folder that may not be read
+                    continue
+                for e in entries:
+                    name = e.base_name
+                    here = f"{rel}/{name}" if rel else name
+                    if e.type == fs.FileType.File:
+                        found.append((here, (e.mtime_ns or 0) // 1000, e.size, False))
+                    elif e.type == fs.FileType.Directory and not _pruned(rel, name) and not (local and os.path.islink(e.path)):
+                        todo.append(here)
+            found += [(r, 0, 0, True) for r in todo]
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*found), schema)] if found else [pa.array([], f.type) for f in schema], schema=schema)
+
+    return run
+
+
+def _reader(uri: str):
+    @F.pandas_udf("binary")
+    def content(paths: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        """Bytes of each file, null where it is gone or may not be read; passed on in pieces."""
+        system, base = store(uri)
+        for batch in paths:
+            held, size = [], 0
+            for rel in batch:
+                try:
+                    with system.open_input_stream(f"{base}/{rel}") as f:
+                        held.append(f.read())
+                except OSError:
+                    held.append(None)
+                size += len(held[-1] or b"")
+                if size >= PIECE:
+                    yield pd.Series(held, dtype=object)
+                    held, size = [], 0
+            if held:
+                yield pd.Series(held, dtype=object)
+
+    return content
+
+
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """(path, mtime, length, content) of files below root, path relative; noise and hidden folders and hidden files are left out.
 
-    Content is read only where a later step uses it.
+    Names may start with `_`, which Spark's own file sources hide. Folders are listed by tasks, those still to be listed after STEP of
+    them being spread anew, and noise is never entered; links to folders are not followed. Content is read only where a later step uses it.
     """
-    base = Path(root).resolve().as_uri().replace("file://", "file:") + "/"
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    df = df.select(F.substring(F.col("path"), len(base) + 1, 100_000).alias("path"), F.col("modificationTime").alias("mtime"), "length", "content")
-    memory = F.col("path").startswith("kgloom-out/memory/")
-    return df.where(memory | (~T.in_noise_dir(F.col("path")) & ~T.file_name(F.col("path")).startswith(".")))
+    uri = qualified(spark, root)
+    todo, parts = spark.createDataFrame([("",)], "path string"), []
+    while True:
+        listed = cut(todo.select("path").mapInArrow(_walk(uri), _LISTED))
+        parts.append(listed.where("not folder"))
+        left = listed.where("folder")
+        if (n := left.count()) == 0:
+            break
+        todo = left.repartition(max(1, min(n, 8 * spark.sparkContext.defaultParallelism)))
+    df = parts[0]
+    for p in parts[1:]:
+        df = df.unionByName(p)
+    path = F.col("path")
+    df = df.where(path.startswith("kgloom-out/memory/") | (~T.in_noise_dir(path) & ~T.file_name(path).startswith(".") & ~path.startswith("kgloom-out/")))
+    return df.select("path", "mtime", "length", _reader(uri)(path).alias("content"))
+
+
+def common_root(files: DataFrame) -> str:
+    """The deepest folder that holds all files; '' where there is none or no file."""
+    folder = F.concat(F.lit("/"), F.regexp_replace("path", "/?[^/]*$", ""), F.lit("/"))
+    lo, hi = files.agg(F.min(folder), F.max(folder)).first()  # what the least and the greatest share, all share
+    shared = []
+    for a, b in zip((lo or "").split("/")[1:-1], (hi or "").split("/")[1:-1]):
+        if a != b:
+            break
+        shared.append(a)
+    return "/".join(shared)
 
 
 def detect(files: DataFrame) -> DataFrame:
@@ -69,9 +176,7 @@ def save_manifest(files: DataFrame, path: str) -> None:
 
 
 def load_manifest(spark: SparkSession, path: str) -> DataFrame | None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+    if not exists(spark, path):
         return None
     return spark.read.schema("path string, mtime timestamp").parquet(path)
 

@@ -56,6 +56,6 @@ def watch(events: DataFrame, rebuild: Callable[[list[str]], None], flag: Callabl
 
 
 def file_events(spark, folder: str) -> DataFrame:
-    """A stream of (ts, path) of files that appear in a folder."""
+    """A stream of (ts, path) of files that appear in a folder; each is named once (for edits, plans.pipeline.watch_folder)."""
     df = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(folder)
     return df.select(F.col("modificationTime").alias("ts"), "path")

@@ -280,6 +280,25 @@ def test_scan_detect_and_changes(spark, tmp_path):
     assert {r["status"] for r in S.changed(files, None).collect()} == {"new"}
 
 
+def test_scan_lists_every_name(spark, tmp_path, monkeypatch):
+    names = ["pkg/__init__.py", "_a.py", "_pkg/c.py", "b.py", "has space/d.py", "p%20q/e.py", "deep/x/y/z/f.py", "é/g.py", "kgloom-out/memory/.note.md"]
+    noise = ["node_modules/b.js", "_pkg/node_modules/x.js", ".git/c.py", "kgloom-out/graph.json", "x_venv/d.py"]
+    for name in names + noise:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    (tmp_path / "loop").symlink_to(tmp_path)
+    for step in (S.STEP, 1):  # all in one round, and one folder a round
+        monkeypatch.setattr(S, "STEP", step)
+        got = {r["path"]: bytes(r["content"]).decode() for r in S.scan(spark, str(tmp_path)).collect()}
+        assert got == {n: n for n in names}
+    listed = S.scan(spark, str(tmp_path)).select("path", "length")
+    assert "content" not in listed._jdf.queryExecution().optimizedPlan().toString()  # nothing is read for a listing
+    assert S.common_root(spark.createDataFrame([("a/b/c.py",), ("a/b/d/e.py",)], "path string")) == "a/b"
+    assert S.common_root(spark.createDataFrame([("a/bc/c.py",), ("a/bd/e.py",)], "path string")) == "a" and S.common_root(spark.createDataFrame([], "path string")) == ""
+    (tmp_path / "none").mkdir()
+    assert S.scan(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_web(spark):
     page = "<html><head><title> A\n b </title><style>x{}</style></head><body><script>var t='<p>'</script>Hi  <b>there</b></body></html>"
     df = spark.createDataFrame([("https://e.org/a", page), ("https://e.org/b", "<p>x</p>")], "url string, html string")
@@ -361,6 +380,12 @@ def test_stream_of_bursts(spark, tmp_path):
     assert built == [["a.py", "b.py"]] and flagged == [["a.py", "c.md"]]
 
 
+def test_lines_are_numbered_in_file_order(spark, tmp_path):
+    (tmp_path / "t.txt").write_text("".join(f"line {i}\n" for i in range(500)) + "\nlast")
+    got = sorted(tuple(r) for r in toc.text_lines(spark, str(tmp_path / "t.txt")).select("line_no", "line").collect())
+    assert got == [(i, f"line {i}") for i in range(500)] + [(500, ""), (501, "last")]
+
+
 def test_entry_and_oracles():
     import __spark_entry__ as e
 

@@ -1,9 +1,14 @@
+import os
 import textwrap
+import time
 
 import pytest
 
 from kgloom.extract import registry as R
+from kgloom.operators import traverse
+from kgloom.operators.build import build_graph
 from kgloom.plans import pipeline
+from kgloom.sources import files as S
 
 PY = '''
 import os.path
@@ -108,3 +113,81 @@ def test_folder_to_graph_and_update(spark, tmp_path):
     assert "new_fresh" in ids and "models_base_ok" not in ids and "added" in said and "removed" in said
     note = pipeline.save_answer(str(tmp_path / "memory"), 'What "is"\nthis?', "It.", [f"n{i}" for i in range(12)])
     assert note.name.endswith("what__is__this.md") and 'question: "What \'is\' this?"' in note.read_text() and "- n11" in note.read_text()
+
+
+def test_update_equals_a_full_run(spark, tmp_path):
+    import random
+
+    rng, src, out = random.Random(5), tmp_path / "src", str(tmp_path / "out")
+    src.mkdir()
+    (src / "base.py").write_text("class Base:\n    pass\n")
+    (src / "child.py").write_text("from base import Base\n\nclass Child(Base):\n    pass\n")
+    (src / "__init__.py").write_text("from child import Child\n\nclass Top:\n    pass\n")
+
+    def rows():
+        return tuple(spark.createDataFrame(df.collect(), df.schema) for df in R.extract(pipeline.code_files(spark, str(src)).select("path", "text")))
+
+    def shape(kg):
+        return {(r["id"], r["label"]) for r in kg.nodes.collect()}, {(r["u"], r["v"], r["relation"]) for r in kg.edges.collect()}
+
+    files = pipeline.code_files(spark, str(src))
+    S.save_manifest(files, f"{out}/manifest")
+    R.parse(files).write.parquet(f"{out}/cache")
+    edits = [("child.py", lambda t: t + "# note\n"), ("base.py", lambda t: t.replace("Base", "Root")), ("base.py", lambda t: t.replace("Root", "Base")), ("__init__.py", lambda t: t + "\nclass Other:\n    pass\n")]
+    at = 2_000_000_000
+    for name, edit in edits + [("child.py", None)]:
+        n, e = rows()
+        path = src / name
+        path.write_text(edit(path.read_text())) if edit else path.unlink()
+        if path.exists():
+            at += 10
+            os.utime(path, (at, at))
+        _, new, said = pipeline.update(spark, str(src), out, n, e)
+        assert shape(new) == shape(build_graph(*rows())), name
+        if name == "child.py" and edit:
+            assert said == "no changes"
+    assert R.cached_files(spark.read.parquet(f"{out}/cache")).count() == 2
+    R.clear_cache(spark, f"{out}/cache")
+    assert not (tmp_path / "out/cache").exists()
+
+
+def test_edits_are_watched(spark, tmp_path):
+    src, out, said = tmp_path / "src", tmp_path / "out", []
+    src.mkdir()
+    (src / "m.py").write_text("class A:\n    pass\n")
+    q = pipeline.watch_folder(spark, str(src), str(out), every="1 second", quiet=0.0, rebuilt=said.append)
+    try:
+        for _ in range(60):
+            if (out / "watched/_SUCCESS").exists():
+                break
+            time.sleep(0.5)
+        (src / "m.py").write_text("class A:\n    pass\n\nclass B:\n    pass\n")
+        (src / "n.md").write_text("words")
+        for _ in range(120):
+            if {p for s in said for p in s} == {"m.py", "n.md"}:
+                break
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    assert {p for s in said for p in s} == {"m.py", "n.md"}
+    assert "m_b" in (out / "graph.json").read_text() and (out / "needs_update").exists()
+
+
+def test_large_graphs_have_a_report_without_bridges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(traverse, "MOST_EDGES", 0)
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/m.py").write_text(PY)
+    pipeline.run(spark, str(tmp_path / "src"), str(tmp_path / "out"))
+    assert "too large for exact betweenness" in (tmp_path / "out/GRAPH_REPORT.md").read_text()
+
+
+def test_pages_are_ingested_by_kind(spark, tmp_path):
+    pages = [("https://arxiv.org/abs/1706.03762", '<h1 class="title">T</h1><blockquote class="abstract">A b</blockquote><div class="authors">Me</div>'), ("https://x.com/u/status/1", '{"html": "<p>hello</p>", "author_name": "me"}'), ("https://e.org/a", "<title>One</title>x"), ("https://e.org/a?", "<title>Two</title>y")]
+    df = spark.createDataFrame(pages, "url string, html string")
+    got = {p.name: p.read_text() for p in pipeline.ingest(spark, df, str(tmp_path), "now")}
+    assert set(got) >= {"arxiv_1706_03762.md", "x.com_u_status_1.md", "e.org_a.md"} and len(got) == 4
+    assert "A b" in got["arxiv_1706_03762.md"] and "hello" in got["x.com_u_status_1.md"] and "author: me" in got["x.com_u_status_1.md"]
+    again = pipeline.ingest(spark, df, str(tmp_path), "now")
+    assert len({p.name for p in again} | set(got)) == 8
+    with pytest.raises(ValueError):
+        pipeline.ingest(spark, spark.createDataFrame([("file:///etc/passwd", "x")], "url string, html string"), str(tmp_path), "now")
