@@ -45,8 +45,11 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Null, empty and wordless texts are like no other and stay, as do rows with a null id; rows that share an id are one document and stay
     or go together; long texts are compared whole. Columns of any name pass unchanged; an empty table stays empty.
     """
-    gone = near_dedup.near_duplicates(docs).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = "__gone"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    gone = near_dedup.near_duplicates(docs).select(F.col("doc_id").alias(name))
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
