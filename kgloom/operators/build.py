@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import cut
 from ..schema import CONFIDENCES, EDGE_KEYS, FILE_TYPES, KG, NODE_KEYS, score_default
 
 NODE_ATTRS = ("label", "file_type", "source_file", "source_location", "source_url", "captured_at", "author", "contributor", "community")
@@ -65,26 +64,35 @@ def _whole(df: DataFrame, attrs: tuple[str, ...]) -> DataFrame:
 
 
 def build_nodes(nodes: DataFrame) -> DataFrame:
-    """One row an id: each attribute from the last row that has it, the place (ord) from the first."""
-    n = _whole(nodes.where("id is not null"), NODE_ATTRS)
+    """One row an id: each attribute from the last row that has it, the place (ord) from the first.
+
+    Rows are brought together as they are, before they are collapsed: a partial result carries `ord` once more with every attribute.
+    """
+    n = _whole(nodes.where("id is not null"), NODE_ATTRS).repartition("id")
     return n.groupBy("id").agg(*[_last(a) for a in NODE_ATTRS], F.min("ord").alias("ord"))
 
 
 def build_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row an unordered pair of known nodes, u the earlier node; attributes and direction from the last row."""
+    """One row an unordered pair of known nodes, u the earlier node; attributes and direction from the last row.
+
+    Pairs are collapsed by their larger id first, so that edges move twice in all: once by either end.
+    """
     at = nodes.select("id", F.col("ord").alias("o"))
-    e = edges.join(at.withColumnsRenamed({"id": "source", "o": "so"}), "source").join(at.withColumnsRenamed({"id": "target", "o": "to"}), "target")
-    fwd = F.col("so") <= F.col("to")
-    e = e.withColumn("u", F.when(fwd, F.col("source")).otherwise(F.col("target"))).withColumn("v", F.when(fwd, F.col("target")).otherwise(F.col("source")))
-    return _collapse(e.withColumn("u_ord", F.least("so", "to")), F.min("u_ord").alias("u_ord"))
+    e = _pairs(edges.where("source is not null and target is not null"))
+    e = e.join(at.withColumnsRenamed({"id": "hi", "o": "ho"}), "hi").join(at.withColumnsRenamed({"id": "lo", "o": "lo_"}), "lo")
+    return _ends(e.withColumn("earlier", F.col("lo_") <= F.col("ho")), F.col("earlier"), F.least("lo_", "ho").alias("u_ord"))
 
 
-def _collapse(e: DataFrame, *more: Column) -> DataFrame:
-    e = _whole(e, EDGE_ATTRS)
-    forward = F.max_by(F.col("source") == F.col("u"), F.col("ord"))
-    out = e.groupBy("u", "v").agg(forward.alias("f"), *[_last(a) for a in EDGE_ATTRS], F.min("ord").alias("ord"), *more)
-    src, tgt = (F.when(F.col("f"), a).otherwise(F.col(b)) for a, b in ((F.col("u"), "v"), (F.col("v"), "u")))
-    return out.select("u", "v", src.alias("src"), tgt.alias("tgt"), *EDGE_ATTRS, "ord", *([c for c in ("u_ord",) if more]))
+def _pairs(edges: DataFrame) -> DataFrame:
+    """(hi, lo, f, attributes, ord): one row a pair of ids; f says whether the last row leads from lo to hi. Rows of a pair meet as they are."""
+    e = _whole(edges, EDGE_ATTRS).withColumns({"lo": F.least("source", "target"), "hi": F.greatest("source", "target")}).repartition("hi")
+    return e.groupBy("hi", "lo").agg(F.max_by(F.col("source") == F.col("lo"), F.col("ord")).alias("f"), *[_last(a) for a in EDGE_ATTRS], F.min("ord").alias("ord"))
+
+
+def _ends(pairs: DataFrame, earlier: Column, *more: Column) -> DataFrame:
+    """Rows of _pairs with named ends: u is lo where `earlier` holds."""
+    pick = lambda c, a, b: F.when(c, F.col(a)).otherwise(F.col(b))
+    return pairs.select(pick(earlier, "lo", "hi").alias("u"), pick(earlier, "hi", "lo").alias("v"), pick(F.col("f"), "lo", "hi").alias("src"), pick(F.col("f"), "hi", "lo").alias("tgt"), *EDGE_ATTRS, "ord", *more)
 
 
 def build_graph(nodes: DataFrame, edges: DataFrame, hyperedges: DataFrame | None = None) -> KG:
@@ -93,15 +101,9 @@ def build_graph(nodes: DataFrame, edges: DataFrame, hyperedges: DataFrame | None
     return KG(n, build_edges(n, edges), hyperedges)
 
 
-def keep(kg: KG) -> KG:
-    """kg with its tables written in the shared folder, so that nothing that reads them builds them again."""
-    return KG(cut(kg.nodes), cut(kg.edges), kg.hyperedges)
-
-
 def build_edges_lenient(edges: DataFrame) -> DataFrame:
     """As build_edges, but ends need not be nodes; u is the smaller id."""
-    e = edges.where("source is not null and target is not null")
-    return _collapse(e.withColumn("u", F.least("source", "target")).withColumn("v", F.greatest("source", "target")))
+    return _ends(_pairs(edges.where("source is not null and target is not null")), F.lit(True))
 
 
 def lenient_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.build import build_graph, keep
+from ..operators.build import build_edges, build_graph, build_nodes
+from ..runtime import cut
 from ..schema import KG
 
 
@@ -61,9 +62,14 @@ def graph(spark: SparkSession, sf_dir: str, where: str = FULL) -> KG:
     return build_graph(raw_nodes(spark, sf_dir), raw_edges(spark, sf_dir, where))
 
 
-def built(spark: SparkSession, sf_dir: str, where: str = FULL) -> KG:
-    """graph(), built once: for queries that read it several times."""
-    return keep(graph(spark, sf_dir, where))
+ENDS = ("u", "v")
+SHOWN = ("src", "relation", "confidence", "u_ord", "ord")  # what ranked and written edges are made of
+
+
+def built(spark: SparkSession, sf_dir: str, *more: str) -> KG:
+    """graph(), built once, for queries that read it several times; its edges have their ends and the columns `more`."""
+    nodes = cut(build_nodes(raw_nodes(spark, sf_dir)))
+    return KG(nodes, cut(build_edges(nodes, raw_edges(spark, sf_dir)).select(*ENDS, *more)))
 
 
 _LAST = "arg_max({c}, ord) FILTER ({c} IS NOT NULL) AS {c}"

@@ -430,7 +430,7 @@ _REAL = "relation NOT IN ('imports','imports_from','contains','method') AND NOT
 
 @query("surprise_scores", duck("SELECT u, v, score, why FROM sx", more=_SC))
 def _(spark, sf):
-    return A.surprise_scores(V.built(spark, sf))
+    return A.surprise_scores(V.built(spark, sf, "relation", "confidence"))
 
 
 _CF = f"cf AS (SELECT {_OR}, score, why, CAST(row_number() OVER (ORDER BY score DESC, u_ord, ord) AS INT) AS rank FROM sx WHERE {_REAL} AND NOT u_is_concept AND NOT v_is_concept)"
@@ -438,7 +438,7 @@ _CF = f"cf AS (SELECT {_OR}, score, why, CAST(row_number() OVER (ORDER BY score
 
 @query("cross_file_surprises", duck("SELECT * FROM cf WHERE rank <= 5", more=f"{_SC}, {_CF}"))
 def _(spark, sf):
-    return A.cross_file_surprises(V.built(spark, sf))
+    return A.cross_file_surprises(V.built(spark, sf, *V.SHOWN))
 
 
 _SURE = "CASE confidence WHEN 'AMBIGUOUS' THEN 0 WHEN 'INFERRED' THEN 1 ELSE 2 END"
@@ -448,17 +448,17 @@ co AS (SELECT {_OR}, 'joins community ' || u_community || ' to ' || v_community
 
 @query("cross_community_surprises", duck("SELECT * FROM co WHERE rank <= 5", more=_CC))
 def _(spark, sf):
-    return A.cross_community_surprises(V.built(spark, sf))
+    return A.cross_community_surprises(V.built(spark, sf, *V.SHOWN))
 
 
 @query("surprising_connections", duck("SELECT rank, source, target, confidence, relation, why AS reason FROM cf WHERE rank <= 5", more=f"{_SC}, {_CF}"))
 def _(spark, sf):
-    return A.surprising_connections(V.built(spark, sf))
+    return A.surprising_connections(V.built(spark, sf, *V.SHOWN))
 
 
 @query("surprising_connections_one_file", duck("SELECT rank, source, target, confidence, relation, note AS reason FROM co WHERE rank <= 5", more=_CC))
 def _(spark, sf):
-    kg = V.graph(spark, sf)
+    kg = V.built(spark, sf, *V.SHOWN)
     return A.surprising_connections(A.KG(kg.nodes.withColumn("source_file", F.lit("one.md")), kg.edges))
 
 
@@ -485,7 +485,7 @@ _PCT = "CAST(round_even(100.0 * count(*) FILTER (confidence = '{c}') / greatest(
 
 @query("graph_stats", duck(f"SELECT (SELECT count(*) FROM kn) AS nodes, (SELECT count(DISTINCT community) FROM kn) AS communities, count(*) AS edges, {_PCT.format(c='EXTRACTED')} AS extracted_pct, {_PCT.format(c='INFERRED')} AS inferred_pct, {_PCT.format(c='AMBIGUOUS')} AS ambiguous_pct FROM ke", facts=False))
 def _(spark, sf):
-    return A.graph_stats(V.built(spark, sf))
+    return A.graph_stats(V.built(spark, sf, "confidence"))
 
 
 @query("avg_inferred_confidence", duck("SELECT round_even(avg(coalesce(confidence_score, 0.5)), 2) AS avg_inferred, count(*) AS n_inferred FROM ke WHERE confidence = 'INFERRED'", facts=False))
@@ -495,7 +495,7 @@ def _(spark, sf):
 
 @query("ambiguous_edges", duck(f"SELECT source, target, relation, source_file, target_file FROM (SELECT {_OR} FROM ef WHERE confidence = 'AMBIGUOUS')"))
 def _(spark, sf):
-    return A.ambiguous_edges(V.built(spark, sf))
+    return A.ambiguous_edges(V.built(spark, sf, "src", "relation", "confidence"))
 
 
 @query("isolated_nodes", duck("SELECT id, label, degree FROM nf WHERE degree <= 1 AND NOT is_file AND NOT is_concept"))
@@ -518,7 +518,7 @@ def _(spark, sf):
 
 @query("q_ambiguous", duck("SELECT 'ambiguous_edge' AS type, 'What exactly relates `' || u_label || '` and `' || v_label || '`?' AS question, 'The edge is AMBIGUOUS (relation: ' || relation || ').' AS why FROM ef WHERE confidence = 'AMBIGUOUS'"))
 def _(spark, sf):
-    return A.q_ambiguous(V.built(spark, sf)).select("type", "question", "why")
+    return A.q_ambiguous(V.built(spark, sf, "relation", "confidence", "u_ord", "ord")).select("type", "question", "why")
 
 
 @query(
@@ -530,7 +530,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return A.q_verify_inferred(V.built(spark, sf))
+    return A.q_verify_inferred(V.built(spark, sf, "confidence", "ord"))
 
 
 @query("q_isolated", duck("SELECT 'isolated_nodes' AS type, 'What connects ' || array_to_string(list('`' || label || '`' ORDER BY ord)[:3], ', ') || ' to the rest?' AS question, count(*) || ' nodes have one edge or none.' AS why FROM nf WHERE degree <= 1 AND NOT is_file AND NOT is_concept HAVING count(*) > 0"))
@@ -551,22 +551,22 @@ _DIFF = f"WITH {_built_key(V.OLD, 'o')}, {_built_key(V.NEW, 'n')}"
 
 
 def _two(spark, sf):
-    out = []
+    """Raw nodes that an edge leads to, and raw edges, of both states."""
     for w in (V.OLD, V.NEW):
         e = V.raw_edges(spark, sf, w)
         ends = e.select(F.explode(F.array("source", "target")).alias("id")).distinct()
-        out.append(B.keep(B.build_graph(V.raw_nodes(spark, sf).join(ends, "id", "left_semi"), e)))
-    return out
+        yield V.raw_nodes(spark, sf).join(ends, "id", "left_semi"), e
 
 
 @query("graph_diff_nodes", f"{_DIFF} SELECT 'added' AS change, id FROM (FROM nn EXCEPT FROM ok_n) UNION ALL SELECT 'removed', id FROM (FROM ok_n EXCEPT FROM nn)".replace("ok_n", "\"on\"").replace(", on AS", ', "on" AS'))
 def _(spark, sf):
-    return A.graph_diff_nodes(*_two(spark, sf))
+    return A.graph_diff_nodes(*[A.KG(B.build_nodes(n), None) for n, _ in _two(spark, sf)])
 
 
 @query("graph_diff_edges", f"{_DIFF} SELECT 'added' AS change, * FROM (FROM nk EXCEPT FROM ok) UNION ALL SELECT 'removed', * FROM (FROM ok EXCEPT FROM nk)".replace(", on AS", ', "on" AS'))
 def _(spark, sf):
-    return A.graph_diff_edges(*_two(spark, sf))
+    n = V.raw_nodes(spark, sf)  # those without edges change nothing
+    return A.graph_diff_edges(*[B.build_graph(n, e) for _, e in _two(spark, sf)])
 
 
 # --- traversal
@@ -604,7 +604,7 @@ def _(spark, sf):
 
 @query("dfs_nodes")
 def _(spark, sf):
-    return traverse.dfs(V.built(spark, sf), _start(spark), 4)
+    return traverse.dfs(V.built(spark, sf, "ord"), _start(spark), 4)
 
 
 @query("shortest_path_hops", duck("SELECT id, CAST(dist AS INT) AS hops FROM bd", facts=False, more=_BFS.format(d=8)))
@@ -624,7 +624,7 @@ _LBL = _CLEAN.format(x="label")
     ),
 )
 def _(spark, sf):
-    kg = V.built(spark, sf)
+    kg = V.built(spark, sf, *V.SHOWN, "tgt")
     return traverse.subgraph_lines(kg, traverse.bfs(kg, _start(spark), 2)).select("line")
 
 
@@ -640,7 +640,7 @@ def _bfs_of(question: str, depth: int, tag: str = "") -> str:
 
 @query("query_tokens", duck(f"SELECT count(*) AS n_lines, CASE WHEN count(*) = 0 THEN 0 ELSE CAST(greatest(1, (sum(n) + count(*) - 1) // 4) AS BIGINT) END AS tokens FROM {_CHARS}", more=_bfs_of(_QUESTION, 3)))
 def _(spark, sf):
-    return traverse.query_tokens(V.built(spark, sf), _QUESTION, 3)
+    return traverse.query_tokens(V.built(spark, sf, *V.SHOWN, "tgt"), _QUESTION, 3)
 
 
 _QS = [_QUESTION, "customer#000000007 and mod10.py", "zzz nothing"]
@@ -655,7 +655,7 @@ _PER = " UNION ALL ".join(f"SELECT CASE WHEN count(*) = 0 THEN 0 ELSE greatest(1
     ),
 )
 def _(spark, sf):
-    return traverse.token_reduction(V.built(spark, sf), _QS, depth=2)
+    return traverse.token_reduction(V.built(spark, sf, *V.SHOWN, "tgt"), _QS, depth=2)
 
 
 _ONE = "f AS (SELECT id FROM kn WHERE contains(lower(label), 'supplier#00000000') OR lower(id) = 'supplier#00000000' ORDER BY ord LIMIT 1)"
@@ -699,7 +699,7 @@ def _(spark, sf):
 
 @query("suggest_questions")
 def _(spark, sf):
-    kg = V.built(spark, sf)
+    kg = V.built(spark, sf, "relation", "confidence", "u_ord", "ord")
     return A.suggest_questions(kg, traverse.betweenness(kg)[0])
 
 
@@ -716,21 +716,21 @@ def _(spark, sf):
 def _(spark, sf):
     from ..operators.community import cluster
 
-    return cluster(V.built(spark, sf))
+    return cluster(V.built(spark, sf, "weight"))
 
 
 @query("cluster_covers_all_nodes", f"WITH {V.KN} SELECT id, CAST(1 AS BIGINT) AS n_communities FROM kn")
 def _(spark, sf):
     from ..operators.community import cluster
 
-    return cluster(V.built(spark, sf)).groupBy("id").agg(F.count("*").alias("n_communities"))
+    return cluster(V.built(spark, sf, "weight")).groupBy("id").agg(F.count("*").alias("n_communities"))
 
 
 @query("modularity", duck("SELECT round(sum(coalesce(i, 0) / m - pow(vol / (2 * m), 2)), 6) AS modularity FROM (SELECT c, sum(w) AS vol FROM (SELECT u_community AS c, weight AS w FROM ef UNION ALL SELECT v_community, weight FROM ef) GROUP BY 1) LEFT JOIN (SELECT u_community AS c, sum(weight) AS i FROM ef WHERE u_community = v_community GROUP BY 1) USING (c), (SELECT sum(weight) AS m FROM ke)"))
 def _(spark, sf):
     from ..operators.community import modularity
 
-    return modularity(V.built(spark, sf))
+    return modularity(V.built(spark, sf, "weight"))
 
 
 # --- exports
@@ -788,7 +788,7 @@ def _(spark, sf):
 
 @query("canvas_top_edges", duck("SELECT CAST(row_number() OVER (ORDER BY weight DESC, u_ord, ord) AS INT) AS rank, u, v, relation || ' [' || confidence || ']' AS label, weight FROM ef QUALIFY rank <= 200"))
 def _(spark, sf):
-    return X.canvas_top_edges(V.built(spark, sf))
+    return X.canvas_top_edges(V.built(spark, sf, "relation", "confidence", "weight", "u_ord", "ord"))
 
 
 @query("wiki_cross_links", duck("SELECT community, CAST(row_number() OVER (PARTITION BY community ORDER BY n_edges DESC, other) AS INT) AS rank, other, n_edges AS n_links FROM ic QUALIFY rank <= 12", more=_ICE))
@@ -808,13 +808,13 @@ def _(spark, sf):
 
 @query("note_rows")
 def _(spark, sf):
-    kg = V.built(spark, sf)
+    kg = V.built(spark, sf, "relation", "confidence", "ord")
     return X.note_rows(kg).union(X.community_notes(kg))
 
 
 @query("wiki_rows")
 def _(spark, sf):
-    return X.wiki_rows(V.built(spark, sf))
+    return X.wiki_rows(V.built(spark, sf, "relation", "confidence"))
 
 
 _J = "'\"{k}\":' || coalesce(to_json({c})::VARCHAR, 'null')"
