@@ -263,18 +263,22 @@ def suggest_questions(kg: KG, betweenness: DataFrame | None, n: int = 7) -> Data
 
 
 # --- comparison
+def _changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(change, columns) of rows that only one table holds. Either is read once, and both meet in one shuffle."""
+    side = lambda df, is_new: df.withColumns({"_old": F.lit(not is_new), "_new": F.lit(is_new)})
+    both = side(old, False).union(side(new, True)).groupBy(*old.columns).agg(F.bool_or("_old").alias("_old"), F.bool_or("_new").alias("_new")).where("_old <> _new")
+    return both.select(F.when(F.col("_new"), "added").otherwise("removed").alias("change"), *old.columns)
+
+
 def graph_diff_nodes(old: KG, new: KG) -> DataFrame:
     """(change, id): nodes added and removed."""
-    a = new.nodes.join(old.nodes.select("id"), "id", "left_anti").select(F.lit("added").alias("change"), "id")
-    return a.union(old.nodes.join(new.nodes.select("id"), "id", "left_anti").select(F.lit("removed").alias("change"), "id"))
+    return _changes(old.nodes.select("id"), new.nodes.select("id"))
 
 
 def graph_diff_edges(old: KG, new: KG) -> DataFrame:
     """(change, a, b, relation): edges added and removed, whatever their direction."""
-    key = lambda kg: kg.edges.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), F.coalesce("relation", F.lit("")).alias("relation")).distinct()
-    o, n = key(old), key(new)
-    on = ["a", "b", "relation"]
-    return n.join(o, on, "left_anti").select(F.lit("added").alias("change"), *on).union(o.join(n, on, "left_anti").select(F.lit("removed").alias("change"), *on))
+    key = lambda kg: kg.edges.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), F.coalesce("relation", F.lit("")).alias("relation"))
+    return _changes(key(old), key(new))
 
 
 def diff_summary(nodes: DataFrame, edges: DataFrame) -> str:
