@@ -10,6 +10,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -111,32 +112,87 @@ def bfs_edges(kg: KG, dist: DataFrame, depth: int) -> DataFrame:
     return e.where(F.col("dist") == F.col("ds") + 1).select("src", "dst", "dist")
 
 
+CHUNK = 1_000_000  # neighbours that are packed into one row
+
+
+def _packed(batches):
+    """Rows (node, dst) in order, as (nodes, how many neighbours each has, neighbours) of 4 bytes each, about CHUNK to a row."""
+
+    def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        src, dst = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1))
+        at = np.flatnonzero(np.concatenate(([True], src[1:] != src[:-1])))
+        parts = src[at], np.diff(np.append(at, len(src))), dst
+        return pa.record_batch([pa.array([len(dst)], pa.int64()), *[pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in parts]], names=["n", "node", "count", "dst"])
+
+    held, n = [], 0
+    for batch in batches:
+        if len(batch):
+            held, n = [*held, batch], n + len(batch)
+        if n >= CHUNK:
+            yield pack(held)
+            held, n = [], 0
+    if held:
+        yield pack(held)
+
+
+def _walk(batches, offsets: dict[int, int], nodes: int, total: int, starts: list[int], depth: int):
+    """(n, step) of nodes by a depth-first walk over the neighbours that _packed() holds; chunks may come in any order."""
+    dst, count = np.empty(total, np.int32), np.zeros(nodes, np.int64)
+    for batch in batches:
+        for at, _, node, many, near in zip(*(c.to_pylist() for c in batch.columns)):
+            dst[offsets[at] : offsets[at] + len(near) // 4] = np.frombuffer(near, np.int32)
+            count[np.frombuffer(node, np.int32)] += np.frombuffer(many, np.int32)
+    upto = np.concatenate(([0], np.cumsum(count)))
+    met, order = np.zeros(nodes, bool), []
+
+    def new(x: int) -> np.ndarray:
+        near = dst[upto[x] : upto[x + 1]]
+        return near[~met[near]]
+
+    for s in starts:
+        if met[s]:
+            continue
+        met[s] = True
+        order.append(np.array([s]))
+        stack = [[new(s), 0]] if depth else []
+        while stack:
+            near, i = stack[-1]
+            if len(stack) == depth:  # these go no further, so all are met at once
+                met[near] = True
+                order.append(near)
+                i = len(near)
+            while i < len(near) and met[near[i]]:
+                i += 1
+            if i == len(near):
+                stack.pop()
+                continue
+            x, stack[-1][1] = int(near[i]), i + 1
+            met[x] = True
+            order.append(np.array([x]))
+            stack.append([new(x), 0])
+    met = np.concatenate([*order, np.zeros(0, np.int64)]).astype(np.int64)
+    for lo in range(0, len(met), CHUNK):
+        yield pa.record_batch([pa.array(met[lo : lo + CHUNK]), pa.array(np.arange(lo, min(lo + CHUNK, len(met))))], names=["n", "step"])
+
+
 def dfs(kg: KG, starts: DataFrame, depth: int = 3) -> DataFrame:
     """(id, step) as a depth-first stack walk meets nodes: marked when popped, neighbours in edge order.
 
-    The nodes within `depth` steps hold every node the walk can meet; their edges go to one task, which walks.
+    The nodes within `depth` steps hold every node the walk can meet. Their edges, sorted by all tasks, go to one task, which
+    walks: 4 bytes for either end of an edge, and some 20 a node.
     """
     ball = bfs(kg, starts, depth)
-    a = adjacency(kg.edges.where("u <> v"), "ord").join(ball.select(F.col("id").alias("src")), "src", "left_semi").join(ball.select(F.col("id").alias("dst")), "dst", "left_semi")
-    first = starts.join(kg.nodes.select("id", "ord"), "id").select(F.col("id").alias("src"), F.lit(None).cast("string").alias("dst"), F.struct(F.lit(0).alias("k"), F.row_number().over(Window.orderBy("ord")).cast("long").alias("n")).alias("at"))
-    rest = a.withColumn("n", F.row_number().over(Window.partitionBy("src").orderBy("ord"))).select("src", "dst", F.struct(F.lit(1).alias("k"), F.col("n").cast("long").alias("n")).alias("at"))
-    rows = first.union(rest).select("src", "dst", "at.k", "at.n", F.lit(0).alias("g"))
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["k", "n"])
-        near: dict[str, list[str]] = {}
-        for s, d in zip(pdf["src"][pdf["k"] == 1], pdf["dst"][pdf["k"] == 1]):
-            near.setdefault(s, []).append(d)
-        stack, met = [(s, 0) for s in reversed(pdf["src"][pdf["k"] == 0].tolist())], {}
-        while stack:
-            node, level = stack.pop()
-            if node in met or level > depth:
-                continue
-            met[node] = len(met)
-            stack.extend((d, level + 1) for d in reversed(near.get(node, [])) if d not in met)
-        return pd.DataFrame({"id": list(met), "step": list(met.values())}, columns=["id", "step"]).astype({"step": "int64"})
-
-    return rows.groupBy("g").applyInPandas(walk, "id string, step long")
+    place = cut(number(kg.nodes.select("id", "ord").join(ball.select("id"), "id", "left_semi"), [F.col("ord"), F.col("id")], "n").select("id", "n"))
+    at = lambda c, n: place.select(F.col("id").alias(c), F.col("n").alias(n))
+    a = adjacency(kg.edges.where("u <> v"), "ord").join(at("src", "s"), "src").join(at("dst", "d"), "dst")
+    chunks = cut(a.orderBy("s", "ord").select("s", "d").mapInArrow(_packed, "n long, node binary, count binary, dst binary").withColumn("at", F.monotonically_increasing_id()))
+    offsets, total = {}, 0
+    for i, n in sorted((r["at"], r["n"]) for r in chunks.select("at", "n").collect()):  # one row a chunk
+        offsets[i], total = total, total + n
+    first = sorted(r["n"] for r in place.join(starts.select("id").distinct(), "id", "left_semi").collect())
+    nodes = place.count()
+    steps = chunks.select("at", "n", "node", "count", "dst").repartition(1).mapInArrow(lambda it: _walk(it, offsets, nodes, total, first, depth), "n long, step long")
+    return steps.join(place, "n").select("id", "step")
 
 
 def shortest_paths(kg: KG, source: str, max_hops: int = 8) -> DataFrame:
