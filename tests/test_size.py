@@ -4,9 +4,9 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from test_core import got, make
+from test_core import got, make, start
 
-from kgloom.operators import community
+from kgloom.operators import community, traverse
 from kgloom.plans import views as V
 from kgloom.plans import workload
 
@@ -65,3 +65,26 @@ def test_components_of_any_shape(spark, monkeypatch):
     nodes = two.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     assert community.connected_components(nodes, two).select("component").distinct().count() == 1
     assert max(kept) < two.count() / 4
+
+
+@pytest.mark.parametrize("sources", [None, 7])
+def test_betweenness_of_graphs_that_are_not_broadcast(spark, monkeypatch, sources):
+    kg = some_graph(spark, 24, 50)
+    want = traverse.betweenness(kg, sources)
+    monkeypatch.setattr(traverse, "MOST_EDGES", 10)
+    monkeypatch.setattr(traverse, "PAIRS_AT_ONCE", 1500)
+    for cols, a, b in zip((("id",), ("u", "v")), want, traverse.betweenness(kg, sources)):
+        a, b = ({tuple(r[c] for c in cols): round(r["betweenness"], 9) for r in df.collect()} for df in (a, b))
+        assert a == b
+
+
+def test_a_walk_holds_numbers_only(spark, monkeypatch):
+    kg = some_graph(spark)
+    want = [traverse.dfs(kg, start(spark, "n007", "n003"), d).orderBy("step").collect() for d in (0, 1, 3, 6)]
+    monkeypatch.setattr(traverse, "CHUNK", 7)
+    assert want == [traverse.dfs(kg, start(spark, "n007", "n003"), d).orderBy("step").collect() for d in (0, 1, 3, 6)]
+    frames = []
+    monkeypatch.setattr(traverse, "cut", lambda df: frames.append(df) or df.localCheckpoint())
+    traverse.dfs(kg, start(spark, "n007"), 4).collect()
+    packed = next(df for df in frames if "dst" in df.columns).collect()
+    assert sum(len(r["dst"]) for r in packed) == 8 * kg.edges.where("u <> v").count()
