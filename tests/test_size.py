@@ -88,3 +88,11 @@ def test_a_walk_holds_numbers_only(spark, monkeypatch):
     traverse.dfs(kg, start(spark, "n007"), 4).collect()
     packed = next(df for df in frames if "dst" in df.columns).collect()
     assert sum(len(r["dst"]) for r in packed) == 8 * kg.edges.where("u <> v").count()
+
+
+def test_rounds_of_moving_release_what_they_leave(spark, monkeypatch):
+    released = []
+    monkeypatch.setattr(community, "ROUNDS", 3)
+    monkeypatch.setattr(community, "release", lambda s: released.append(s), raising=False)
+    e = spark.createDataFrame([("n0", f"n{i}", f"n{i + 1}", 1.0) for i in range(9)], "component string, u string, v string, w double")
+    assert community._moved(e).count() == 10 and len(released) == 3
